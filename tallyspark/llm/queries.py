@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash
+from . import chat, decontaminate, embeddings, language, packing, pii, quality, simhash, urls, warc
 from .common import table
 
 
@@ -25,10 +25,58 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+PII_KEY = "tallyspark-surrogates"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (its source is its host; it has no markup or address) and every page."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    host = F.nullif(urls.host_of(F.col("url")), F.lit(""))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("markup"), none.alias("suffix"), F.col("source").alias("host")).unionAll(
+        pages.select(F.lit(None).cast("long"), "page_id", language.visible(F.col("html")), language.declared(F.col("html")), F.substring_index(host, ".", -1), host)
+    )
+    return language.identified(rows, docs)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.formatted(rows.unionAll(own)))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_urls": op4_urls,
+    "op5_warc": op5_warc,
+    "op6_embeddings": op6_embeddings,
+    "op7_packing": op7_packing,
+    "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -46,4 +94,39 @@ SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, CAST(any_valu
        CAST(count(*) AS INTEGER) AS matched, CAST(count(*) AS DOUBLE) / any_value(item_shingles) AS containment
 FROM ds JOIN s USING (width, g) JOIN n ON n.k = s.k
 GROUP BY ds.dk, s.k HAVING count(*) >= ceil(0.8 * any_value(item_shingles) - 1e-9)""",
+    "op5_warc": r"""
+WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS holder FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, g * 5 + 1, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM d""",
+    "op6_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op10_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  length('<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10)
+         || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)) AS c FROM t)
+SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(c * e) AS BIGINT) AS formatted_chars
+FROM (SELECT *, count(*) FILTER (role = 'assistant' OR k = n) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM o)
+GROUP BY conv_id""",
 }
