@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from pkgutil import iter_modules
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,19 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    """Imports every module that registers queries; modules are found in the packages named here."""
+    for package in ("plans", "operators", "sources", "streaming"):
+        where = import_module(f"{__package__}.{package}")
+        for found in iter_modules(where.__path__):
+            import_module(f"{where.__name__}.{found.name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
