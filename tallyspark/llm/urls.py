@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Labelled URLs that the trees are fitted on, those of the smallest xxhash64(url).
 SAMPLE_ROWS = 20_000
+#: Parts of the labelled URLs; a URL's suffix statistics for training come from the parts that it isn't in.
+FOLDS = 5
 #: Weight of the overall rate in a suffix's rate.
 PRIOR_ROWS = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,16 +160,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: flo
     return Trees(base, found, rate)
 
 
-def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """labelled(suffix, y) -> (suffix, blocked, rows): grouped with partial sums, one row a suffix."""
-    return labelled.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count(F.lit(1)).alias("rows"))
-
-
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """pages and the columns host, path, rule, verdict, score (the trees' share of `block`).
 
     labelled(url, blocked 0/1) are the URLs to learn from; without it the URLs of pages that a rule fits
-    are, labelled by their rule, each with its suffix's counts less its own. A null url or one without ://
+    are, labelled by their rule. Suffix statistics of a training URL come from the other folds, so that they
+    don't give its own label away. A null url or one without ://
     has an empty host and path. Repeated rows give a row each and an empty table no row; columns of pages
     with the names of new ones are replaced. Where nothing is labelled the score is 0.5 and the verdict allow.
     """
@@ -180,7 +178,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
         known = base.where("rule IS NOT NULL").select(url.alias("url"), "host", "path", (F.col("_ruled") == "block").cast("int").alias("y"))
     else:
         known = labelled.where("url IS NOT NULL AND blocked IN (0, 1)").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
-    counts = suffix_counts(known.select(suffix_of(F.col("host")).alias("suffix"), "y"))
+    known = known.withColumns({"suffix": suffix_of(F.col("host")), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS))})
+    by_fold = known.groupBy("suffix", "fold").agg(F.sum("y").alias("blocked_in"), F.count(F.lit(1)).alias("rows_in"))
+    counts = by_fold.groupBy("suffix").agg(F.sum("blocked_in").alias("blocked"), F.sum("rows_in").alias("rows"))
     total = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if not total[1]:
         return base.select(*given, "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"), F.lit(0.5).alias("score"))
@@ -189,8 +189,8 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
     def rate(blocked: Column, rows: Column) -> list[Column]:
         return [(blocked + PRIOR_ROWS * overall) / (rows + PRIOR_ROWS), F.log1p(rows.cast("double"))]
 
-    sample = known.orderBy(F.xxhash64("url"), "url").limit(sample_rows).withColumn("suffix", suffix_of(F.col("host"))).join(counts, "suffix", "left")
-    own = rate(F.col("blocked") - F.col("y"), F.col("rows") - 1)
+    sample = known.orderBy(F.xxhash64("url"), "url").limit(sample_rows).join(counts, "suffix", "left").join(by_fold, ["suffix", "fold"], "left")
+    own = rate(F.col("blocked") - F.col("blocked_in"), F.col("rows") - F.col("rows_in"))
     rows = sample.select(F.concat(lexical(F.col("url"), F.col("host"), F.col("path")), F.array(*own)).alias("x"), "y").collect()  # at most sample_rows
     rows.sort(key=lambda r: (r[0], r[1]))
     model = fit(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float))
