@@ -121,8 +121,8 @@ def dq_classification_coherent(s):
     return d.agg(F.count_if(bad).alias("violations"))
 
 
-@op("dq_exact_at_snapshot", ", m AS (SELECT max(month) AS t FROM months) SELECT count(*) FILTER (last = t) AS on_the_day, CAST(0 AS BIGINT) AS violations FROM firms, m")
-def dq_exact_at_snapshot(s):
+@op("dq_exact_at_model_snapshot", ", m AS (SELECT max(month) AS t FROM months) SELECT count(*) FILTER (last = t) AS on_the_day, CAST(0 AS BIGINT) AS violations FROM firms, m")
+def dq_exact_at_model_snapshot(s):
     """At the last month the rebuilt stock is the count of firms without an end, state by state."""
     top = s.months.agg(F.max("month").alias("month"))
     rebuilt = stock(s).join(F.broadcast(top), "month").select("state", "firms")

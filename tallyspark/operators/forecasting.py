@@ -113,7 +113,50 @@ def damped(y: np.ndarray) -> np.ndarray:
     return level + trend * np.cumsum(f ** np.arange(1, 4))
 
 
-MODELS = {"naive": naive, "drift": drift, "seasonal": seasonal, "theta": theta, "damped": damped}
+def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
+    return np.linalg.solve(x.T @ x + ridge * len(y) * np.eye(x.shape[1]), x.T @ y)
+
+
+def arima(y: np.ndarray) -> np.ndarray:
+    """ARIMA(2,1,0) with drift, by conditional least squares on the differences."""
+    d = np.diff(y)
+    if len(d) < 6:
+        return drift(y)
+    w = _least_squares(np.column_stack((np.ones(len(d) - 2), d[1:-1], d[:-2])), d[2:])
+    path = [*d[-2:]]
+    for _ in range(3):
+        path.append(w @ (1.0, path[-1], path[-2]))
+    return y[-1] + np.cumsum(path[2:])
+
+
+def sarimax(y: np.ndarray) -> np.ndarray:
+    """Differences on the last one, the one a year ago and half-yearly level terms; short series fall back to arima."""
+    d = np.diff(y)
+    if len(d) < 20:
+        return arima(y)
+    season = lambda t: np.column_stack((np.sin(np.pi * t / 3), np.cos(np.pi * t / 3)))
+    t = np.arange(12, len(d))
+    w = _least_squares(np.column_stack((np.ones(len(t)), d[t - 1], d[t - 12], season(t))), d[t], 1e-4)
+    path = list(d)
+    for _ in range(3):
+        n = len(path)
+        path.append(float(np.concatenate(([1.0, path[-1], path[n - 12]], season(np.array([n]))[0])) @ w))
+    return y[-1] + np.cumsum(path[-3:])
+
+
+def additive(y: np.ndarray) -> np.ndarray:
+    """A piecewise-linear trend with damped slope changes and yearly Fourier terms, by ridge regression."""
+    n = len(y)
+    knots = np.linspace(0, 0.8 * n, 6)[1:]
+    t = np.arange(n + 3.0)
+    waves = [f(2 * np.pi * k * t / 12) for k in (1, 2) for f in (np.sin, np.cos)]
+    x = np.column_stack((np.ones_like(t), t / n, *(np.maximum(0, t - k) / n for k in knots), *waves))
+    weight = np.diag([1e-6, 1e-6, *[0.05] * len(knots), *[0.01] * len(waves)]) * n
+    w = np.linalg.solve(x[:n].T @ x[:n] + weight, x[:n].T @ y)
+    return x[n:] @ w
+
+
+MODELS = {"naive": naive, "drift": drift, "seasonal": seasonal, "theta": theta, "damped": damped, "arima": arima, "sarimax": sarimax, "additive": additive}
 
 
 def _forecast(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +182,8 @@ def forecasts(s: Star) -> DataFrame:
     return series(s).groupBy("series").applyInPandas(_forecast, "series string, model string, h int, forecast double")
 
 
-for _name in ("theta", "damped"):
-    op(f"fc_{'ets_damped' if _name == 'damped' else _name}")(lambda s, m=_name: forecasts(s).where(F.col("model") == m))
+for _name, _model in (("theta", "theta"), ("ets_damped", "damped"), ("arima", "arima"), ("sarimax", "sarimax"), ("prophet", "additive")):
+    op(f"fc_{_name}")(lambda s, m=_model: forecasts(s).where(F.col("model") == m))
 op("fc_combine")(lambda s: forecasts(s).where("model = 'combination'"))
 
 

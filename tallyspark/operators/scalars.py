@@ -195,8 +195,8 @@ def text_normalize(s):
 _NUMBERS = ("1.234,56", "R$ 2,5 mi", "1,234.5", "12%", "3 bilhões", "1e3", "abc", "-7,5", "10 mil", "1.234", "2.5")
 
 
-@op("parse_number", "SELECT * FROM (VALUES ('1.234,56', 1234.56), ('R$ 2,5 mi', 2500000.0), ('1,234.5', 1234.5), ('12%', 12.0), ('3 bilhões', 3000000000.0), ('1e3', 1000.0), ('abc', NULL), ('-7,5', -7.5), ('10 mil', 10000.0), ('1.234', 1234.0), ('2.5', 2.5)) AS v(text, value)")
-def parse_number(s):
+@op("parse_localized_number", "SELECT text, CAST(value AS DOUBLE) AS value FROM (VALUES ('1.234,56', 1234.56), ('R$ 2,5 mi', 2500000.0), ('1,234.5', 1234.5), ('12%', 12.0), ('3 bilhões', 3000000000.0), ('1e3', 1000.0), ('abc', NULL), ('-7,5', -7.5), ('10 mil', 10000.0), ('1.234', 1234.0), ('2.5', 2.5)) AS v(text, value)")
+def parse_localized_number(s):
     return s.spark.createDataFrame([(x,) for x in _NUMBERS], "text string").withColumn("value", fn.parse_number(F.col("text")))
 
 
