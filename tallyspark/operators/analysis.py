@@ -12,8 +12,8 @@ from .presentation import _D, decision
 from .relational import _STOCK, by_month
 
 for _dim in ("segment", "client", "origin"):
-    portable(f"an_sentinel_rate_by_{_dim}", "", f"SELECT {_dim} AS value, round(100.0 * count(CASE WHEN suppressed THEN 1 END) / count(*), 8) AS hidden_pct FROM fct GROUP BY {_dim}")
-portable("an_sentinel_rate_by_dim", "u AS (SELECT 'segment' AS dim, segment AS value, suppressed FROM fct UNION ALL SELECT 'client', client, suppressed FROM fct)", "SELECT dim, value, round(100.0 * count(CASE WHEN suppressed THEN 1 END) / count(*), 8) AS hidden_pct FROM u GROUP BY dim, value")
+    portable(f"an_sentinel_rate_by_{_dim}", "", f"SELECT {_dim} AS value, round(100e0 * count(CASE WHEN suppressed THEN 1 END) / count(*), 8) AS hidden_pct FROM fct GROUP BY {_dim}")
+portable("an_sentinel_rate_by_dim", "u AS (SELECT 'segment' AS dim, segment AS value, suppressed FROM fct UNION ALL SELECT 'client', client, suppressed FROM fct)", "SELECT dim, value, round(100e0 * count(CASE WHEN suppressed THEN 1 END) / count(*), 8) AS hidden_pct FROM u GROUP BY dim, value")
 portable(
     "an_sentinel_alternation",
     "c AS (SELECT code, month, max(CASE WHEN suppressed THEN 1 ELSE 0 END) AS hid, max(operations) AS most FROM fct GROUP BY code, month), a AS (SELECT code, max(hid) AS any_hid, min(hid) AS all_hid, max(most) AS most FROM c GROUP BY code)",

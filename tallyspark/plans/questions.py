@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .portable import SUMS, TOTAL, ago, by, portable
 
-GROWTH = "100.0 * (a.amount / b.amount - 1)"
+GROWTH = "100e0 * (a.amount / b.amount - 1)"
 
 
 def _yoy(select: str, ctes: str, n: int = 12, on: str = "AND b.grp = a.grp", join: str = "JOIN") -> tuple[str, str]:
@@ -196,7 +196,7 @@ portable(
     "g AS (SELECT month, CAST(sum(CASE WHEN client = 'PJ' AND size_class = 'Unavailable' THEN amount ELSE 0 END) AS DOUBLE) AS odd, count(CASE WHEN client = 'PJ' AND size_class = 'Unavailable' THEN 1 END) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM fct GROUP BY month)",
     "SELECT count(CASE WHEN n > 0 THEN 1 END) AS months, CAST(sum(n) AS BIGINT) AS cells, 100 * max(odd / amount) AS max_share FROM g",
 )
-_HIDDEN = "CAST(sum(CASE WHEN suppressed THEN amount ELSE 0 END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) * 100 AS amount_share, 100.0 * count(CASE WHEN suppressed THEN 1 END) / count(*) AS row_share"
+_HIDDEN = "CAST(sum(CASE WHEN suppressed THEN amount ELSE 0 END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) * 100 AS amount_share, 100e0 * count(CASE WHEN suppressed THEN 1 END) / count(*) AS row_share"
 portable("q36_suppressed_share", "m AS (SELECT month, amount, suppressed FROM fct), last AS (SELECT max(month) AS top FROM months)", f"SELECT 'latest' AS span, {_HIDDEN} FROM m JOIN last ON month = top UNION ALL SELECT 'all', {_HIDDEN} FROM m")
 portable(
     "q37_lower_bound_count",
@@ -233,7 +233,7 @@ portable("d16", by("segment", where="WHERE product = 'LARGE'"), "SELECT grp AS s
 portable("d17", "g AS (SELECT month, CAST(sum(value) AS DOUBLE) AS value FROM flows WHERE side = 'receiver' AND client = 'PJ' AND year(month) = 2000 GROUP BY month)", "SELECT month, value FROM g ORDER BY value DESC, month LIMIT 1")
 portable(
     "d18", "t AS (SELECT max(month) AS top FROM months), n AS (SELECT f.state, count(*) AS firms FROM firms f CROSS JOIN t WHERE " + _ACTIVE + " GROUP BY f.state)",
-    "SELECT n.state, 1000.0 * firms / population AS per_thousand, CAST(row_number() OVER (ORDER BY 1000.0 * firms / population DESC, n.state) AS BIGINT) AS place FROM n CROSS JOIN t JOIN population p ON p.state = n.state AND p.year = year(t.top)",
+    "SELECT n.state, 1000e0 * firms / population AS per_thousand, CAST(row_number() OVER (ORDER BY 1000e0 * firms / population DESC, n.state) AS BIGINT) AS place FROM n CROSS JOIN t JOIN population p ON p.state = n.state AND p.year = year(t.top)",
 )
 portable(
     "d19", by("segment"),
