@@ -17,6 +17,15 @@ from .params import DEFAULT, Params
 STATE_HIDDEN = "NATION_24"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """An aggregate that several branches of a query read: computed once, in memory or on disk.
+
+    For results of the size of a calendar times a key only; without it each branch would scan the facts
+    again, since pruned branches don't share an exchange. A lost executor's part is computed again.
+    """
+    return df.cache()
+
+
 class Star:
     """Lazily built tables; nothing is read until an action runs, and each scan reads the used columns only."""
 
@@ -122,7 +131,8 @@ class Star:
         return self.orders.select("month").distinct()
 
     def latest(self, df: DataFrame, column: str = "month") -> DataFrame:
-        """The rows of the last period: a one-row aggregate joined on equality."""
+        """The rows of an aggregate's last period: a one-row maximum joined on equality."""
+        df = kept(df)
         top = df.agg(F.max(column).alias("_top"))
         return df.join(F.broadcast(top), F.col(column) == F.col("_top")).drop("_top")
 

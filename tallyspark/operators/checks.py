@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..binding import Star
+from ..binding import Star, kept
 from ..plans.portable import portable
 from .common import op
 from .relational import by_month, stock
@@ -102,7 +102,7 @@ def dq_positive(s):
 def dq_reconcile_marts(s):
     """Totals by each dimension add up to the fact's, month by month; one pass over the cells."""
     keys = ["product", "state", "segment", "client"]
-    cells = s.fct.groupBy("month", *keys).agg(F.sum("amount").alias("a"))
+    cells = kept(s.fct.groupBy("month", *keys).agg(F.sum("amount").alias("a")))
     whole = cells.groupBy("month").agg(F.sum("a").alias("t"))
     out = None
     for k in keys:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..binding import Star
+from ..binding import Star, kept
 from .common import op
 from .statistics import Z80, dm_statistic, t_tail
 
@@ -21,7 +21,7 @@ def series(s: Star) -> DataFrame:
     """(series, month, amount): the country, each product and each state, a missing month being 0."""
     cells = s.fct.groupBy("month", "product", "state").agg(F.sum("amount").alias("a"))
     names = F.array(F.lit("all"), F.concat(F.lit("product:"), "product"), F.concat(F.lit("state:"), "state"))
-    cube = cells.select("month", F.explode(names).alias("series"), "a").groupBy("series", "month").agg(F.sum("a").cast("double").alias("a"))
+    cube = kept(cells.select("month", F.explode(names).alias("series"), "a").groupBy("series", "month").agg(F.sum("a").cast("double").alias("a")))
     grid = cube.select("series").distinct().crossJoin(F.broadcast(s.months))
     return grid.join(cube, ["series", "month"], "left").select("series", "month", F.coalesce("a", F.lit(0.0)).alias("amount"))
 

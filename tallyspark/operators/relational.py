@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..binding import Star
+from ..binding import Star, kept
 from .common import op
 
 _STATES = "g AS (SELECT month, state, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(overdue) AS DOUBLE) AS overdue FROM fct GROUP BY 1, 2)"
 
 
 def by_state(s: Star) -> DataFrame:
-    return s.fct.groupBy("month", "state").agg(F.sum("amount").cast("double").alias("amount"), F.sum("overdue").cast("double").alias("overdue"))
+    return kept(s.fct.groupBy("month", "state").agg(F.sum("amount").cast("double").alias("amount"), F.sum("overdue").cast("double").alias("overdue")))
 
 
 def by_month(s: Star) -> DataFrame:
-    return s.fct.groupBy("month").agg(F.sum("amount").cast("double").alias("amount"), F.sum("overdue").cast("double").alias("overdue"))
+    return kept(s.fct.groupBy("month").agg(F.sum("amount").cast("double").alias("amount"), F.sum("overdue").cast("double").alias("overdue")))
 
 
 _MONTHS = "g AS (SELECT month, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(overdue) AS DOUBLE) AS overdue FROM fct GROUP BY 1)"
@@ -140,7 +140,7 @@ _MOVES = """moves AS (SELECT state, last_day(first) AS month, 1 AS d FROM firms
 def stock(s: Star) -> DataFrame:
     """Active firms by state and month: a running sum of monthly movements on the dense grid."""
     one = lambda c, d: s.firms.where(F.col(c).isNotNull()).select("state", F.last_day(c).alias("month"), F.lit(d).alias("d"))
-    deltas = one("first", 1).unionAll(one("last", -1)).groupBy("state", "month").agg(F.sum("d").alias("d"))
+    deltas = one("first", 1).unionAll(one("last", -1)).groupBy("state", "month").agg(F.sum("d").alias("d"))  # both branches read one row a firm
     grid = s.raw("nation").select(F.col("n_name").alias("state")).crossJoin(F.broadcast(s.months))
     running = Window.partitionBy("state").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(deltas, ["state", "month"], "left").select("state", "month", F.sum(F.coalesce("d", F.lit(0))).over(running).alias("firms"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..binding import Star
+from ..binding import Star, kept
 from ..operators.common import op
 from ..operators.relational import stock, with_period_before
 from ..operators.scalars import _LEGACY, _RAW, legacy, raw_text
@@ -96,7 +96,7 @@ def monthly_stock(s: Star) -> DataFrame:
     keys = ["state", "grp", "inside"]
     up = seg.select(*keys, F.last_day("a").alias("month"), F.lit(1).alias("d"))
     down = seg.where("z IS NOT NULL").select(*keys, F.last_day("z").alias("month"), F.lit(-1).alias("d"))
-    delta = up.unionAll(down).groupBy(*keys, "month").agg(F.sum("d").alias("d"))
+    delta = kept(up.unionAll(down).groupBy(*keys, "month").agg(F.sum("d").alias("d")))
     grid = delta.select(*keys).distinct().crossJoin(F.broadcast(s.months))
     run = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(delta, [*keys, "month"], "left").select(*keys, "month", F.sum("d").over(run).cast("bigint").alias("firms")).where("firms != 0")
@@ -167,7 +167,7 @@ _LEVELS = f"g AS (SELECT month, product, {SUMS} FROM fct GROUP BY month, product
   100 * (a.amount / y.amount - 1) AS growth_12m, 100 * (a.overdue / a.amount - h.overdue / h.amount) AS rate_change_6m, {ago('a.month', 6)} < brk AND brk <= a.month AS crosses_break
   FROM g a CROSS JOIN b LEFT JOIN g y ON y.product = a.product AND y.month = {ago('a.month', 12)} LEFT JOIN g h ON h.product = a.product AND h.month = {ago('a.month', 6)}""")
 def mart_monthly(s: Star) -> DataFrame:
-    g = s.fct.groupBy("month", "product").agg(*[F.sum(c).cast("double").alias(c) for c in ("amount", "overdue", "problem")])
+    g = kept(s.fct.groupBy("month", "product").agg(*[F.sum(c).cast("double").alias(c) for c in ("amount", "overdue", "problem")]))
     year = with_period_before(g, 12, ["product"], suffix="_12").select("month", "product", "amount_12")
     half = with_period_before(g, 6, ["product"], suffix="_6").select("month", "product", "amount_6", "overdue_6")
     both = g.join(year, ["month", "product"]).join(half, ["month", "product"])
@@ -208,7 +208,7 @@ def decision(s: Star, cut: float) -> DataFrame:
 
     Unrated: amount below cut, then fewer than `least_groups` groups above it, then no comparison month.
     """
-    keep = s.fct.where("client = 'PJ'").groupBy("month", "product", "state").agg(*[F.sum(c).cast("double").alias(c) for c in ("amount", "overdue", "problem")])
+    keep = kept(s.fct.where("client = 'PJ'").groupBy("month", "product", "state").agg(*[F.sum(c).cast("double").alias(c) for c in ("amount", "overdue", "problem")]))
     ends = F.broadcast(keep.agg(F.max("month").alias("t")))
     old_month = fn.months_back(F.col("t"), s.p.rate_months)
     at = lambda c, day, name: F.max(F.when(F.col("month") == day, F.col(c))).alias(name)
