@@ -13,7 +13,7 @@ rows whatever the corpus, and for runs of equal bins at once. The plan maps (len
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -26,45 +26,56 @@ from .common import bound_batches, stored
 
 TOKENS = 2048
 END_ID = 0
-#: Pieces that one salt ranks, and entries of a worker's cache of encoded words.
+#: Pieces that one salt ranks.
 SALT_ROWS = 50_000
-CACHE_WORDS = 300_000
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: how byte-level vocabularies of this kind split text into words.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the
+    others, in order, for 256 and on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer file by its bytes, where plain byte-pair ranks give the same ids: byte-level
+    words, no normalizer, and ids in the order of the merges. None otherwise."""
+    model, words = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = words.get("type") == "ByteLevel" and not words.get("add_prefix_space") and words.get("use_regex", True)
+    if not plain or not level or spec.get("normalizer") or spec.get("post_processor"):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    if any(vocabulary.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    added = {x["content"] for x in spec.get("added_tokens", ())}
+    return {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in added}
+
+
 class Encoder:
-    """Ids as little-endian bytes. Byte-level vocabularies of this kind never join what stands before and
-    after a single space between words, so words are encoded apart and remembered."""
+    """Ids as little-endian bytes. The tokenizer's own library defines them; where its file is a plain byte-level
+    vocabulary, a faster encoder with the same ranks gives the same ids (tests compare the two); texts that hold an added
+    token go the defining way."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.seen: dict[str, bytes] = {}
+        self.tokenizer, spec, self.fast = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json), None
+        if ranks := ranks_of(spec):
+            import tiktoken
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.added = [x["content"] for x in spec.get("added_tokens", ())]
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _BREAK.split(text) if _UNEVEN.search(text) else text.split(" ")
-        seen = self.seen
-        head = self.whole(parts[:1])[0]
-        found = list(map(seen.get, parts[1:]))
-        if None in found:
-            missing = sorted({w for w, f in zip(parts[1:], found) if f is None})
-            if len(seen) + len(missing) > CACHE_WORDS:
-                seen.clear()
-                missing = sorted(set(parts[1:]))
-            seen.update(zip(missing, self.whole([" " + w for w in missing])))
-            found = [seen[w] for w in parts[1:]]
-            for w in missing:
-                if len(w) > 64:
-                    del seen[w]
-        return head + b"".join(found)
+        if self.fast is not None and not any(x in text for x in self.added):
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _encoder(tokenizer_json: str) -> Encoder:
