@@ -13,10 +13,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Labelled URLs that the trees are fitted on, those of the smallest xxhash64(url).
 SAMPLE_ROWS = 20_000
 #: Parts of the labelled URLs; a URL's suffix statistics for training come from the parts that it isn't in.
 FOLDS = 5
+#: Suffixes up to which their statistics are broadcast (some 60 bytes each); beyond, the join shuffles both sides.
+BROADCAST_SUFFIXES = 100_000
 #: Weight of the overall rate in a suffix's rate.
 PRIOR_ROWS = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -181,7 +185,8 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
     known = known.withColumns({"suffix": suffix_of(F.col("host")), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS))})
     by_fold = known.groupBy("suffix", "fold").agg(F.sum("y").alias("blocked_in"), F.count(F.lit(1)).alias("rows_in"))
     counts = by_fold.groupBy("suffix").agg(F.sum("blocked_in").alias("blocked"), F.sum("rows_in").alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    counts = stored(counts, "url-suffixes")
+    total = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     if not total[1]:
         return base.select(*given, "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"), F.lit(0.5).alias("score"))
     overall = total[0] / total[1]
@@ -194,7 +199,8 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
     rows = sample.select(F.concat(lexical(F.col("url"), F.col("host"), F.col("path")), F.array(*own)).alias("x"), "y").collect()  # at most sample_rows
     rows.sort(key=lambda r: (r[0], r[1]))
     model = fit(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float))
-    joined = base.withColumn("_suffix", suffix_of(F.col("host"))).join(counts.withColumnsRenamed({"suffix": "_suffix", "blocked": "_blocked", "rows": "_rows"}), "_suffix", "left")
+    renamed = counts.withColumnsRenamed({"suffix": "_suffix", "blocked": "_blocked", "rows": "_rows"})
+    joined = base.withColumn("_suffix", suffix_of(F.col("host"))).join(F.broadcast(renamed) if total[2] <= BROADCAST_SUFFIXES else renamed, "_suffix", "left")
     none = [F.coalesce(c, F.lit(0)) for c in ("_blocked", "_rows")]
     scored = joined.withColumn("_features", F.concat(lexical(url, F.col("host"), F.col("path")), F.array(*rate(*none))))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-model.margin(F.col("_features")))))
