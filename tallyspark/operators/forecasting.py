@@ -3,13 +3,16 @@ sums over the cells come first, and what no expression can say runs per series i
 
 from __future__ import annotations
 
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..binding import Star, kept
+from . import statistics
 from .common import op
 from .statistics import Z80, dm_statistic, t_tail
 
@@ -169,12 +172,9 @@ def _forecast(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _send(s: Star) -> None:
-    """Python per series needs this package on the executors."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    """Functions that run per series travel whole, with those they call, so executors need no copy of this package."""
+    for module in (sys.modules[__name__], statistics):
+        cloudpickle.register_pickle_by_value(module)
 
 
 def forecasts(s: Star) -> DataFrame:

@@ -15,8 +15,7 @@ from ..sources.scans import scratch
 
 def stream(s: Star, name: str = "events") -> DataFrame:
     path = f"{s.dir}/{name}.parquet"
-    schema = s.spark.read.parquet(path).schema
-    return s.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if path.endswith("/") else f"{s.dir}/{name}.parquet*")
+    return s.spark.readStream.schema(s.spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def drained(s: Star, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
