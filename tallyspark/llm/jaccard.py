@@ -1,0 +1,162 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+Search: all shingles stand in one global order, those that many texts hold last (estimated on a sample;
+the order decides the cost, never the result). Two sets of similarity t or more share a shingle within
+the first n - ceil(t * n) + 1 of each, n being the set's size, so texts meet in buckets by those. A
+bucket's match is a candidate only where sizes and positions still allow t. Parities of the shingles that
+fall to each bit of a sketch differ in at most as many bits as there are shingles in one set alone, which
+rules most candidates out without a loss; each of the others is verified on the shingles themselves. Shingles meet by 64-bit hashes and equal sets by a 64-bit digest.
+
+Skew: equal sets collapse before the search. A bucket is first compared with one leader, a few rounds
+long, so that a large group of near copies becomes one class by a linear number of pairs; after that
+every pair of a bucket whose classes still differ is compared, so that no link between classes is lost.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bound_batches, stored
+from .components import connected_components
+from .simhash import _LOWER
+
+SHINGLE_WORDS = 5
+THRESHOLD = 0.8
+#: Texts sampled for the order of shingles, texts of the sample that make a shingle common, and common ones at most.
+SAMPLE_ROWS, COMMON_ROWS, MOST_COMMON = 5_000, 3, 50_000
+#: Rounds of comparisons with a bucket's leader before all pairs across classes.
+LEADER_ROUNDS = 2
+#: Longs of a parity sketch.
+SKETCH_LONGS = 16
+
+
+def shingles(text: bytes, width: int = SHINGLE_WORDS) -> set[bytes]:
+    """The distinct shingles of UTF-8 text, lower-cased in ASCII; a shorter text is one shingle, one without words none."""
+    words = text.translate(_LOWER).split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def _hashes(own: set[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64)
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities, as longs, of the hashes that fall to each bit."""
+    bits = 64 * SKETCH_LONGS
+    return np.packbits(np.bincount((hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def _common(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many texts of a sample hold."""
+    step = max(1, rows.count() // SAMPLE_ROWS)
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(shingles(t.as_py() or b"", width)))], ["token"])
+
+    sample = rows.where(F.pmod(F.xxhash64("id", "h"), F.lit(step)) == 0).select("text")
+    counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_ROWS)
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow().column(0).to_numpy())
+
+
+def prefixes(rows: DataFrame, threshold: float, width: int) -> DataFrame:
+    """rows(id, h, text) with node (digest of the shingles), n (their number), prefix (hashes of the first ones) and sketch."""
+    bound_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
+
+    def run(batches):
+        common = shared.value
+        for batch in batches:
+            nodes, sizes, firsts, sketches = [], [], [], []
+            for t in batch.column(2).cast(pa.binary()):
+                own = shingles(t.as_py() or b"", width)
+                nodes.append(xxhash.xxh3_64_intdigest(b"\n".join(sorted(own))))
+                sizes.append(len(own))
+                h = np.sort(_hashes(own))
+                at = np.searchsorted(common, h)
+                at[at == len(common)] = 0
+                late = common[at] == h if len(common) else np.zeros(len(h), bool)
+                sketches.append(_sketch(h))
+                firsts.append(np.concatenate((h[~late], h[late]))[: len(own) - ceil(threshold * len(own) - 1e-9) + 1])
+            first = pa.array(firsts, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first, pa.array(sketches, pa.list_(pa.int64()))], ["id", "h", "text", "node", "n", "prefix", "sketch"])
+
+    return rows.mapInArrow(run, "id long, h long, text string, node long, n int, prefix array<long>, sketch array<long>")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """pairs(u, v) without those that their sketches rule out."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    apart = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    fits = (F.col("nu") + F.col("nv") - apart) / 2 * (1 + threshold) >= threshold * (F.col("nu") + F.col("nv")) - 1e-6
+    return pairs.join(a, "u").join(b, "v").where(fits).select("u", "v")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, threshold: float, width: int) -> DataFrame:
+    """pairs(u, v) whose texts' similarity reaches the threshold."""
+    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = prints.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+
+    def run(batches):
+        last, left = None, set()
+        for batch in batches:
+            us, vs, near = batch.column(0), batch.column(1), []
+            for u, x, y in zip(us.to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if u != last:
+                    last, left = u, shingles(x.as_py() or b"", width)
+                right = shingles(y.as_py() or b"", width)
+                both = len(left & right)
+                near.append(both >= threshold * (len(left) + len(right) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([us, vs], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def classes(prints: DataFrame, threshold: float, width: int) -> DataFrame:
+    """prints of `prefixes` -> (node, root) for the nodes that have a partner; root names the class."""
+    sets = stored(prints.where("n > 0").select("node", "n", "prefix", "sketch").dropDuplicates(["node"]), "jaccard-sets")
+    each = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("token")
+    met = stored(each.join(shared, "token"), "jaccard-met")
+    # The overlap that is still possible from a match on, against the one that the threshold needs.
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (1 + threshold) >= threshold * (F.col("x.n") + F.col("y.n")) - 1e-6
+    edges, roots = None, None
+    for k in range(LEADER_ROUNDS + 1):
+        state = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        x = y = state
+        if k < LEADER_ROUNDS:
+            x = state.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", F.lit(k))).alias("l")).select("token", "l.*")
+        apart = (F.col("x.root") != F.col("y.root")) if k < LEADER_ROUNDS else (F.col("x.root") < F.col("y.root"))
+        pairs = x.alias("x").join(y.alias("y"), "token").where(apart & reach).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+        pairs = stored(_possible(pairs, sets, threshold), "jaccard-pairs")
+        found = stored(_verified(pairs, prints, threshold, width), "jaccard-edges")
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionAll(found)
+        roots = stored(connected_components(edges).select(F.col("node"), F.col("root")), "jaccard-roots")
+    return roots if roots is not None else prints.sparkSession.createDataFrame([], "node long, root long")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of docs, with all its columns, for each class of texts linked by a similarity of threshold or more: that of the smallest id.
+
+    Texts without words are one class. Rows without an id come last; ties are settled by a hash of the text,
+    and of rows alike in both any one stays. Texts of any length are read whole.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    prints = stored(prefixes(rows, threshold, shingle_words), "jaccard-prefixes")
+    named = prints.select("id", "h", "node").join(classes(prints, threshold, shingle_words), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("kept"))
+    kept = stored(first.select(F.col("kept.id").alias("_id"), F.col("kept.h").alias("_h")), "jaccard-kept")
+    marked = docs.withColumn("_own_h", F.xxhash64(text))
+    same = marked[id_col].cast("long").eqNullSafe(kept["_id"]) & (marked["_own_h"] == kept["_h"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_own_h"]).drop("_own_h")

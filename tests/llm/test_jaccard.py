@@ -1,0 +1,43 @@
+from itertools import combinations
+
+import corpus_pipeline
+from tallyspark.llm import jaccard
+
+
+def brute_kept(rows):
+    """The smallest id of each class of texts that 5-word Jaccard similarity of 0.8 or more links."""
+    sets, root = {}, {i: i for i, _ in rows}
+    for i, text in rows:
+        words = "".join(c.lower() if c < "\x80" else c for c in text or "").encode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in combinations(sorted(sets), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if both * 10 >= either * 8:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {find(i) for i in sets}
+
+
+def test_whole_table_against_brute_force(spark):
+    base = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    kept = [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, base).collect()]
+    assert len(kept) == len(set(kept))
+    assert set(kept) == brute_kept([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_links_around_the_threshold_and_through_others(spark):
+    """Texts that differ in the last words: one at 0.8, one just below, a chain whose ends are apart, a group of near copies."""
+    word = lambda n, a=0: [f"w{i}" for i in range(a, a + n)]
+    texts = [word(13, 1000), word(12, 1000) + ["x"], word(12, 2000), word(11, 2000) + ["x"]]
+    texts += [word(100, 3000 + 8 * k) for k in range(12)]
+    texts += [word(60, 5000) + [f"own{k}"] for k in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in jaccard.representatives(docs).collect()} == brute_kept(rows)
