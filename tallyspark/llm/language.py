@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, stored
 
 CELLS = 1 << 13
-#: Languages at most, the commonest of the labels; the text's evidence counts as this many trigrams at most.
-MAX_LANGUAGES = 64
+#: The text's evidence counts as this many trigrams at most.
 MOST_TRIGRAMS = 200.0
 #: Pseudo-rows of a host's suffix and of the corpus in the host's prior, and of noise in declared languages.
 SUFFIX_ROWS, CORPUS_ROWS, NOISE_ROWS = 5.0, 5.0, 0.5
@@ -41,8 +40,7 @@ def _trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [languages x CELLS]) from every labelled text; counts are summed by
     language and cell, so tasks return at most CELLS rows a language."""
-    top = docs.where(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MAX_LANGUAGES).collect()
-    languages = sorted(r[0] for r in top)
+    languages = sorted(r[0] for r in docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string")).distinct().collect())
     at = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
@@ -60,7 +58,7 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> t
     bound_batches(docs.sparkSession)
     table = np.ones((len(languages), CELLS)) * 0.5
     summed = docs.select(F.col(label_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang int, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # at most MAX_LANGUAGES x CELLS
+    for r in summed.collect():  # at most languages x CELLS
         table[r["lang"], r["cell"]] += r["n"]
     return languages, np.log(table / table.sum(1, keepdims=True))
 
@@ -79,7 +77,7 @@ def declared(html: Column) -> Column:
 def likelihoods(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """rows(key..., text) with `text` replaced by `ll`: log-likelihoods by language, tempered, largest 0."""
     at = rows.columns.index("text")
-    shared = rows.sparkSession.sparkContext.broadcast(table.T.copy())  # at most 4 MB
+    shared = rows.sparkSession.sparkContext.broadcast(table.T.copy())  # 64 KB a language
 
     def run(batches):
         for batch in batches:
@@ -122,26 +120,22 @@ def identified(rows: DataFrame, labelled: DataFrame, label_col: str = "lang", te
         return own.select(by, F.array(*[f"s{i}" for i in range(n)]).alias(f"{by}_sum"))
 
     hosts = sums("host")
-    # Markup and suffixes: values of the commonest MAX_LANGUAGES go into expressions, all others count as one.
     corpus = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(n)]).first()
 
-    def tables(by: str) -> tuple[Column, Column]:
-        """The evidence of a column as two arrays: log P(value | language), and the value's own sums."""
-        common = sums(by).withColumn("total", F.aggregate(f"{by}_sum", F.lit(0.0), lambda a, x: a + x)).orderBy(F.desc("total"), by).limit(MAX_LANGUAGES).collect()
-        known, logs, own = F.col(by), None, None
-        for r in common:
-            log = F.array(*[F.lit(float(np.log((r[1][i] + NOISE_ROWS) / (corpus[i] + NOISE_ROWS * (len(common) + 1))))) for i in range(n)])
-            add = F.array(*[F.lit(float(x)) for x in r[1]])
-            logs = F.when(known == r[0], log) if logs is None else logs.when(known == r[0], log)
-            own = F.when(known == r[0], add) if own is None else own.when(known == r[0], add)
-        even = F.array(*[F.lit(0.0)] * n)
-        return (even, even) if logs is None else (F.coalesce(logs, even), F.coalesce(own, even))
-
-    markup, _ = tables("markup")
-    suffix, suffix_own = tables("suffix")
+    # Markup and suffixes: every value's sums, joined as tables.
+    markups, suffixes = stored(sums("markup"), "language-markup"), stored(sums("suffix"), "language-suffix")
+
+    def evidence(by: str, values: int) -> Column:
+        """log P(value | language) as an array; even for a null."""
+        logs = [F.log((F.col(f"{by}_sum")[i] + NOISE_ROWS) / (corpus[i] + NOISE_ROWS * (values + 1))) for i in range(n)]
+        return F.when(F.col(f"{by}_sum").isNotNull(), F.array(*logs)).otherwise(even)
+
+    even = F.array(*[F.lit(0.0)] * n)
+    markup, suffix = evidence("markup", markups.count()), evidence("suffix", suffixes.count())
     base = np.array(corpus, float) + 1.0
     base /= base.sum()
-    joined = seen.join(hosts, "host", "left").withColumns({"_m": markup, "_x": suffix, "_xs": suffix_own})
+    joined = seen.join(hosts, "host", "left").join(markups, "markup", "left").join(suffixes, "suffix", "left")
+    joined = joined.withColumns({"_m": markup, "_x": suffix, "_xs": F.coalesce("suffix_sum", even)})
     host_total = F.aggregate("host_sum", F.lit(0.0), lambda a, x: a + x)
     xs_total = F.aggregate("_xs", F.lit(0.0), lambda a, x: a + x)
 

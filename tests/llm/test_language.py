@@ -57,3 +57,18 @@ def test_markup(spark):
     got = html.select(language.declared(html["h"]).alias("d"), language.visible(html["h"]).alias("v")).collect()
     assert [r["d"] for r in got] == ["fr", None, None]
     assert "var" not in got[0]["v"] and "amp" not in got[0]["v"]
+
+
+def test_more_than_64_languages_and_suffixes(spark):
+    """The rarest of 70 languages is told; the rarest of 70 suffixes gives its hosts their prior."""
+    own = lambda k: f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3}"
+    docs = spark.createDataFrame([(f"l{k:02d}", f"{own(k)} " * 30) for k in range(70) for _ in range(1 if k == 69 else 2)], "lang string, text string")
+    languages, _ = language.train(docs)
+    assert len(languages) == 70
+    schema = "id long, text string, markup string, suffix string, host string"
+    told = language.identified(spark.createDataFrame([(1, f"{own(69)} " * 30, None, None, None)], schema), docs).first()
+    assert told["lang"] == "l69"
+    two = spark.createDataFrame([("a", "the cat and the dog " * 20), ("b", "le chat et les chiens " * 20)], "lang string, text string")
+    rows = [(100 + k, "the cat and the dog", f"m{k // 2}", f"s{k // 2}", None) for k in range(140)] + [(1, "le chat et les chiens", "rare", "rare", None), (2, "", "rare", "rare", None)]
+    got = {r["id"]: r["lang"] for r in language.identified(spark.createDataFrame(rows, schema), two).collect()}
+    assert got[2] == "b"
