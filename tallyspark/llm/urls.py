@@ -86,7 +86,7 @@ def lexical(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     values = [
         F.char_length(url), F.char_length(host), F.char_length(path), F.size(F.filter(F.split(path, "/"), lambda p: p != "")), F.size(F.split(host, r"\.")),
-        _share(url, "[^0-9]"), _share(host, "[^0-9]"), F.char_length(host) - F.char_length(F.replace(host, F.lit("-"), F.lit(""))), _entropy(F.substring(url, 1, 2048)), _entropy(F.substring(host, 1, 2048)),
+        _share(url, "[^0-9]"), _share(host, "[^0-9]"), F.char_length(host) - F.char_length(F.replace(host, F.lit("-"), F.lit(""))), _entropy(url), _entropy(host),
         F.size(F.filter(F.split(query, "&"), lambda p: p != "")), F.char_length(query), F.instr(url, "#") > 0, F.regexp_count(url, F.lit("%[0-9A-Fa-f]{2}")),
         F.lower(F.substring(url, 1, 8)) == "https://", _share(host, "[^aeiou]"), F.array_max(F.transform(F.split(host, r"\."), lambda p: F.char_length(p))),
         path.rlike(r"\.[A-Za-z0-9]{1,5}$"), host.rlike(r":\d+$"),

@@ -66,3 +66,12 @@ def test_trees_and_column_agree(spark):
 def test_nothing_labelled(spark, rows):
     got = urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert [(r["verdict"], r["score"]) for r in got] == [("allow", 0.5)] * len(rows)
+
+
+def test_entropy_of_a_long_url_is_that_of_all_of_it(spark):
+    host = "h" * 2100 + "abcdefgh" * 300
+    url = f"http://{host}/" + "a" * 2100 + "0123456789" * 300
+    shares = lambda t: [t.count(c) / len(t) for c in set(t)]
+    bits = [-sum(p * np.log2(p) for p in shares(t)) for t in (url, host)]
+    row = spark.createDataFrame([(url, host)], "url string, host string").select(urls.lexical(F.col("url"), F.col("host"), F.lit("/")).alias("x")).first()
+    assert row["x"][8:10] == pytest.approx(bits)
