@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, stored
 from .components import connected_components
-from .simhash import _LOWER
+from .covering import _LOWER
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8

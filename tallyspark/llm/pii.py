@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 # Titles, given names by script and gender, alphabets by script and class.
 TITLES = {
@@ -242,25 +242,19 @@ def exceptions(known: DataFrame, key: str, draws: int = 16) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {draws} draws")
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with surrogates in text_col; count_col, if named, gets the number of replaced entities.
 
     Every row and column stays. A null text stays null, an empty one empty, both with count 0; repeated
     rows get the same text; an empty table stays empty; texts are read whole.
     """
-    text, hits, tries = F.col(text_col), _free(docs, "_hits"), _free(docs, "_tries")
+    text, hits, tries = F.col(text_col), free_name(docs, "_hits"), free_name(docs, "_tries")
     retry = stored(exceptions(entities(docs, text_col), key), "pii-exceptions")
     typed = lambda t: F.transform(found(t), lambda m: let(kind_of(m), lambda k: F.struct(m.alias("match"), k.alias("kind"), canonical(k, m).alias("value"))))
     out = docs.withColumn(hits, typed(text))
     attempt = lambda kind, value: F.lit(0)
     if not retry.isEmpty():
-        digest = _free(docs, "_digest")
+        digest = free_name(docs, "_digest")
         needed = (
             docs.select(F.sha2(text, 256).alias(digest), F.explode(F.array_distinct(typed(text))).alias("e")).select(digest, "e.kind", "e.value").join(retry, ["kind", "value"]).distinct()
             .groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "attempt"))).alias(tries))
