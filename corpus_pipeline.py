@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, jaccard, packing, pii, quality
+from tallyspark.llm import decontaminate, packing, pii, quality, simhash
 from tallyspark.llm.common import stored, table
 
 #: Key of the surrogates; a deployment sets its own secret.
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of texts linked by a 5-word Jaccard similarity of 0.8 or more, that of its smallest doc_id."""
-    return jaccard.representatives(docs)
+    return simhash.representatives(docs, shingle_words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
