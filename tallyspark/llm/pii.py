@@ -1,16 +1,22 @@
 r"""Surrogates for personal data, in DataFrame functions only.
 
-Each detected entity is replaced by a value of the same type and format, drawn from
-SHA-512(key, type, canonical form, attempt): digits for digits, vowels for vowels, consonants for
-consonants, letters of the same case and script; separators stay. Card numbers keep a valid check
-digit (and only numbers with one are cards), addresses keep four octets, e-mail hosts move under
-example.*, names keep title, gender and script. The canonical form (digits of a number, lower-cased
-e-mail, one word of a name) ties spellings of one entity together wherever they occur.
-
-Collision checks run over the distinct entities of the whole corpus: a surrogate that two entities
-share, or that is itself an entity of the corpus, is drawn again with the next attempt for all but the
-first of them, until none is left. Attempts other than 0 are joined to the texts that need them by the
-digest of the text; without collisions, as good as always, no text is shuffled.
+Each detected entity is replaced by a value of the same type and format: digits for digits, vowels for
+vowels, consonants for consonants, letters of the same case and script; separators stay. The replacement is
+a keyed permutation of the format's space (alternating halves are shifted by SHA-512 of key, type, attempt and the
+other half), so two entities of one format never share a surrogate. Card numbers keep a valid check digit (and only
+numbers with one are cards), phone numbers their country code, addresses stay in their kind of network, e-mail
+hosts move under example.*. A name keeps its title; its words are entities of their own, a first name
+(of a title's gender) or a surname, so that a surname is the same with and without a first name; surrogates of first
+names end as their gender does in their script. The canonical form (the digits of a number with its country code, a
+lower-cased e-mail, a word of a name) ties spellings of one entity together wherever they occur.
+
+Collision checks run over the distinct entities of the whole corpus: a surrogate that two entities share (across
+formats), or that is itself an entity of the corpus, is drawn again with the next attempt for all but the
+first of them, until none is left; names grow by a syllable an attempt and hosts by a letter, so there is always room.
+Formats of numbers and secrets can't grow: where the corpus fills so much of one that DRAWS attempts don't do, all its
+entities go back to attempt 0, which is a permutation and so keeps them distinct, but may give a value that
+occurs elsewhere in the corpus. Attempts other than 0 go along as one small map where there are at most FEW of them; beyond, they
+are joined to the texts that need them by the digest of the text.
 """
 
 from __future__ import annotations
@@ -22,17 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
-# Titles, given names by script and gender, alphabets by script and class.
+# Titles by gender, alphabets by script and class.
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа", "госпожа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"),
 }
-GIVEN = {
-    ("latin", "f"): ("Ada", "Bea", "Carla", "Dora", "Edith", "Flora", "Greta", "Helga", "Irma", "Judith", "Klara", "Lena", "Marta", "Nora", "Olga", "Paula"),
-    ("latin", "m"): ("Adam", "Boris", "Carl", "David", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noel", "Oskar", "Paul"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "София", "Тамара", "Юлия"),
-    ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён"),
-}
+# How first names end, by script and gender, and the syllables that names grow by.
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ий"}
+SYLLABLES = {"latin": ("bcdfghjklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстфх", "аеиоу")}
+# Fixed value: the country calling codes of one and two digits; all others have three.
+CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxz", "AEIOU", "BCDFGHJKLMNPQRSTVWXZ", "áàâäéèêëíìîïóòôöúùûü", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "çñß", "ÇÑ",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
@@ -40,9 +45,11 @@ ALPHABETS = (
 
 _LETTERS = "".join(ALPHABETS)
 #: For each of _LETTERS, where its alphabet begins and how long it is.
-_FIRSTS = [1 + sum(map(len, ALPHABETS[:k])) for k, a in enumerate(ALPHABETS) for _ in a]
+_STARTS = [1 + sum(map(len, ALPHABETS[:k])) for k, a in enumerate(ALPHABETS) for _ in a]
 _SIZES = [len(a) for a in ALPHABETS for _ in a]
 
+#: Attempts before a format counts as full, and attempts other than 0 that go along with every task as one map.
+DRAWS, FEW = 8, 1000
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "|".join(t for own in TITLES.values() for t in own)
 #: Type and pattern, in order of precedence; no capturing groups.
@@ -51,7 +58,7 @@ PATTERNS = {
     "secret": r"(?:(?i:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_=-]{8,}[\"']|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))",
     "name": rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\p{L}\d])",
+    "phone": r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,8}){1,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\p{L}\d]|\.\d)",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\d]|\.\d)",
     "card": r"(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{13,19})(?![\p{L}\d])",
 }
@@ -89,126 +96,196 @@ def check_sum(digits: Column) -> Column:
 
 
 def kind_of(match: Column) -> Column:
-    """The type of a match of ANY; null for a number that is no card."""
+    """The type of a match of ANY; null for a number that is neither card nor phone."""
     out = None
     for kind, pattern in PATTERNS.items():
         hit = match.rlike(f"^(?:{pattern})$")
-        value = F.lit(kind) if kind != "card" else F.when(check_sum(_digits(match)) == 0, F.lit(kind))
+        good = {"card": check_sum(_digits(match)) == 0, "phone": F.char_length(_digits(match)).between(8, 15)}.get(kind, F.lit(True))
+        value = F.when(good, F.lit(kind))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
 
 def canonical(kind: Column, match: Column) -> Column:
-    """What spellings of one entity share; kind is the type of match."""
-    return F.when(kind.isin("phone", "card", "ssn"), _digits(match)).when(kind == "email", F.lower(match)).otherwise(match)
+    """What spellings of one entity share; kind is the type of match. A phone number without a country code has 1."""
+    phone = F.concat(F.when(match.startswith("+"), "").otherwise("1"), _digits(match))
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), _digits(match)).when(kind == "email", F.lower(match)).otherwise(match)
 
 
-def _noise(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    parts = [F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"), F.lit(k)), 512) for k in ("0", "1")]
-    return F.concat(*parts)
+def _noise(key: str, *parts: Column | str) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 512)
 
 
 def _drawn(noise: Column, i: Column) -> Column:
-    """The i-th byte of the noise, from 1 on; it repeats after 128."""
-    return F.conv(F.substring(noise, 2 * F.pmod(i - 1, F.lit(128)) + 1, 2), 16, 10).cast("int")
+    """The i-th number below 65536 of the noise, from 0 on; it repeats after 32."""
+    return F.conv(F.substring(noise, 4 * F.pmod(i, F.lit(32)) + 1, F.lit(4)), 16, 10).cast("int")
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _shifted(c: Column, by: Column) -> Column:
+    """A letter or digit moved on within its alphabet; a letter of no alphabet becomes some Latin one, all else stays."""
+    other = F.when(c.rlike(r"\p{L}"), F.substring(F.lit("aeiouklmnprst"), by % 13 + 1, F.lit(1))).otherwise(c)
+
+    def own(at):
+        start, size = _at(_STARTS, at), _at(_SIZES, at)
+        return F.when(at > 0, F.substring(F.lit(_LETTERS), start + (at - start + by) % size, F.lit(1))).otherwise(other)
+
+    return let(F.instr(F.lit(_LETTERS), c), own)
 
 
-def _masked(text: Column, noise: Column) -> Column:
-    """text with each letter and digit drawn anew within its class; all else stays."""
+def _hex_shifted(c: Column, by: Column) -> Column:
+    return let(F.instr(F.lit("0123456789abcdef"), c), lambda at: F.substring(F.lit("0123456789abcdef"), (at - 1 + by) % 16 + 1, F.lit(1)))
 
-    def char(c, nth):
-        byte = _drawn(noise, nth)
-        other = F.when(c.rlike(r"\p{L}"), F.substring(F.lit("aeiouklmnprst"), byte % 13 + 1, F.lit(1))).otherwise(c)
-        own = lambda at: F.when(at > 0, F.substring(F.lit(_LETTERS), _at(_FIRSTS, at) + byte % _at(_SIZES, at), F.lit(1))).otherwise(other)
-        return let(F.instr(F.lit(_LETTERS), c), own)
 
-    def each(t):
-        nth = lambda i: F.char_length(F.regexp_replace(F.substring(t, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        chars = F.transform(_positions(t), lambda i: let(F.substring(t, i, F.lit(1)), lambda c: char(c, nth(i))))
-        return F.when(F.char_length(t) > 0, F.array_join(chars, "")).otherwise(t)
+def _octet_shifted(c: Column, by: Column) -> Column:
+    return ((c.cast("int") + by) % 256).cast("string")
 
-    return let(text, each)
 
+def permuted(key: str, kind: Column | str, attempt: Column, units: Column, shifted: Callable[[Column, Column], Column] = _shifted, sep: str = "") -> Column:
+    """The units (an array) under a keyed permutation, joined by sep: four rounds, each of which shifts every other
+    unit by noise from the units that stay."""
 
-def _email(match: Column, noise: Column) -> Column:
-    local, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
-    top = F.lower(F.substring_index(host, ".", -1))
-    word = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: F.substring(F.lit("bcdfghjklmnpqrstvwxz"), _drawn(noise, i) % 20 + 1, F.lit(1))), "")
-    return F.concat(_masked(local, noise), F.lit("@"), word, F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("org")))
+    def again(value: Column, r: int) -> Column:
+        if r == 4:
+            return F.array_join(value, sep)
+        still = F.array_join(F.filter(value, lambda c, i: i % 2 != r % 2), sep)
+        moved = lambda noise: F.transform(value, lambda c, i: F.when(i % 2 == r % 2, shifted(c, _drawn(noise, (i / 2).cast("int")))).otherwise(c))
+        return let(let(_noise(key, kind, attempt, str(r), still), moved), lambda v: again(v, r + 1))
 
+    return let(units, lambda v: again(v, 0))
 
-def _card(match: Column, noise: Column) -> Column:
+
+def _laid(spelling: Column, drawn: Column) -> Column:
+    """The digits of spelling replaced by those of drawn, from left to right."""
+    nth = lambda i: F.char_length(_digits(F.substring(spelling, F.lit(1), i)))
+    return F.array_join(F.transform(_chars(spelling), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(drawn, nth(i + 1), F.lit(1))).otherwise(c)), "")
+
+
+def _email(key: str, match: Column, attempt: Column) -> Column:
+    """The local part keeps its format and the case of its letters; a host goes to one of its own, a letter longer an attempt."""
+    local, host = F.substring_index(match, "@", 1), F.lower(F.substring_index(match, "@", -1))
+    top = F.substring_index(host, ".", -1)
+    letters = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), 10 + attempt), lambda i: F.substring(F.lit("bcdfghjklmnpqrstvwxz"), _drawn(n, i) % 20 + 1, F.lit(1))), "")
+    cased = lambda drawn: F.array_join(F.transform(_chars(local), lambda c, i: let(F.substring(drawn, i + 1, F.lit(1)), lambda d: F.when(c != F.lower(c), F.upper(d)).otherwise(d))), "")
+    own = let(permuted(key, "email", attempt, _chars(F.lower(local))), cased)
+    return F.concat(own, F.lit("@"), let(_noise(key, "host", attempt, host), letters), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("org")))
+
+
+def _card(key: str, match: Column, attempt: Column) -> Column:
     """The first digit, the length and the separators stay; the last digit makes the check sum right."""
-    body = F.concat(F.substring(match, 1, 1), _masked(F.substring(match, F.lit(2), F.char_length(match) - 2), noise))
-    last = lambda b: F.pmod(10 - check_sum(F.concat(_digits(b), F.lit("0"))), F.lit(10)).cast("string")
-    return let(body, lambda b: F.concat(b, last(b)))
+    digits = _digits(match)
+    body = F.concat(F.substring(digits, 1, 1), permuted(key, "card", attempt, _chars(F.substring(digits, F.lit(2), F.char_length(digits) - 2))))
+    last = lambda b: F.pmod(10 - check_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")
+    return let(let(body, lambda b: F.concat(b, last(b))), lambda drawn: _laid(match, drawn))
+
 
+#: First octets of public networks, and the parts of an address that stay.
+_PUBLIC = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
+_KEPT = r"^(10\.|127\.|(?:192|172)\.\d+\.|0\.|2(?:2[4-9]|[34]\d|5[0-5])\.)"
 
-def _address(match: Column, noise: Column) -> Column:
-    """Four octets; the prefix of a private or loopback network stays."""
-    kept = F.regexp_extract(match, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
-    fixed = F.size(F.split(kept, r"\.")) - 1
-    octet = lambda p, i: F.when(i < fixed, p).otherwise(((_drawn(noise, 2 * i + 1) * 256 + _drawn(noise, 2 * i + 2)) % 199 + 12).cast("string"))
-    return F.array_join(F.transform(F.split(match, r"\."), octet), ".")
 
+def _address(key: str, match: Column, attempt: Column) -> Column:
+    """Four octets; what tells a network that isn't public stays, a public address stays public."""
+    kept = F.regexp_extract(match, _KEPT, 1)
+    head = F.when(kept != "", kept).otherwise(F.concat(F.substring_index(match, ".", 1), F.lit(".")))
+    rest = permuted(key, "ip", attempt, F.split(F.substring(match, F.char_length(head) + 1, F.lit(15)), r"\."), _octet_shifted, ".")
 
-def _phone(match: Column, noise: Column) -> Column:
-    """A country code after + stays; the first digit of a group is never 0."""
-    code = F.regexp_extract(match, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    rest = F.substring(match, F.char_length(code) + 1, F.char_length(match))
-    return F.concat(code, F.regexp_replace(_masked(rest, noise), r"(?<!\d)0", "7"))
+    def whole(tail):
+        by = _drawn(_noise(key, "ip", attempt, "first", tail), F.lit(0))
+        at = F.array_position(F.array(*[F.lit(n) for n in _PUBLIC]), F.substring_index(match, ".", 1).cast("int")).cast("int")
+        first = F.concat(_at(_PUBLIC, (at - 1 + by) % len(_PUBLIC) + 1).cast("string"), F.lit("."))
+        return F.concat(F.when(kept != "", kept).otherwise(first), tail)
 
+    return let(rest, whole)
 
-def _secret(match: Column, noise: Column) -> Column:
+
+def _phone(key: str, match: Column, attempt: Column) -> Column:
+    """The country code stays; the first digit after it stays 0 or 1, or something else."""
+    digits = canonical(F.lit("phone"), match)
+    code = F.regexp_extract(digits, rf"^({CALLING}|\d{{3}})", 1)
+    first, rest = F.substring(digits, F.char_length(code) + 1, F.lit(1)), F.substring(digits, F.char_length(code) + 2, F.lit(20))
+
+    def national(tail):
+        by = _drawn(_noise(key, "phone", attempt, "first", tail), F.lit(0))
+        lead = F.when(first.isin("0", "1"), (first.cast("int") + by) % 2).otherwise((first.cast("int") - 2 + by) % 8 + 2).cast("string")
+        return F.concat(F.when(match.startswith("+"), code).otherwise(""), lead, tail)
+
+    drawn = let(permuted(key, F.concat(F.lit("phone"), code), attempt, _chars(rest)), national)
+    return let(drawn, lambda d: _laid(match, d))
+
+
+def _secret(key: str, match: Column, attempt: Column) -> Column:
     """What names the secret stays, and hexadecimal stays hexadecimal."""
     head = F.regexp_extract(match, "^([^\"']*[\"']|AKIA)", 1)
 
     def value(body):
         inner = F.regexp_extract(body, "^([^\"']*)", 1)
-        digits = lambda t: F.array_join(F.transform(_positions(t), lambda i: F.substring(F.lit("0123456789abcdef"), _drawn(noise, i) % 16 + 1, F.lit(1))), "")
-        return F.when(inner.rlike("^[0-9a-f]+$"), F.concat(let(inner, digits), F.substring(body, F.char_length(inner) + 1, F.lit(1)))).otherwise(_masked(body, noise))
+        end = F.substring(body, F.char_length(inner) + 1, F.lit(1))
+        drawn = F.when(inner.rlike("^[0-9a-f]+$"), permuted(key, "secret", attempt, _chars(inner), _hex_shifted)).otherwise(permuted(key, "secret", attempt, _chars(inner)))
+        return F.concat(drawn, end)
 
     return F.concat(head, let(F.substring(match, F.char_length(head) + 1, F.char_length(match)), value))
 
 
-def _name(key: str, match: Column, attempt: Column) -> Column:
-    """The title stays; the first of two or more words is a given name of the same script and gender, each
-    other word is drawn on its own, so that a surname is the same with and without a given name."""
-    title = F.regexp_extract(match, rf"^((?:{_TITLES})\.? )", 1)
-    woman = title.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? $")
+def _is(script: str, word: Column) -> Column:
+    return word.rlike(r"^\p{IsCyrillic}" if script == "cyrillic" else r"^\p{IsLatin}")
 
-    def whole(words):
-        def word(w, i):
-            def drawn(noise):
-                out = None
-                for (script, gender), names in GIVEN.items():
-                    like = w.rlike(r"^\p{IsCyrillic}" if script == "cyrillic" else r"^\p{IsLatin}") & (woman if gender == "f" else ~woman)
-                    own = F.element_at(F.array(*[F.lit(n) for n in names]), _drawn(noise, F.lit(1)) % len(names) + 1)
-                    hit = (F.size(words) > 1) & (i == 0) & like
-                    out = F.when(hit, own) if out is None else out.when(hit, own)
-                return out.otherwise(_masked(w, noise))
 
-            return let(_noise(key, F.lit("name"), w, attempt), drawn)
+def _word(key: str, kind: Column, word: Column, attempt: Column) -> Column:
+    """The surrogate of a word of a name; kind is surname, given-f or given-m."""
+    out = permuted(key, kind, attempt, _chars(word))
 
-        return F.array_join(F.transform(words, word), " ")
+    def grown(script: str) -> Column:
+        consonants, vowels = SYLLABLES[script]
+        letter = lambda letters, number: F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))
+        syllable = lambda noise, i: F.concat(letter(consonants, _drawn(noise, 2 * i)), letter(vowels, _drawn(noise, 2 * i + 1)))
+        more = lambda noise: F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: syllable(noise, i)), "")
+        return F.when(attempt > 0, let(_noise(key, kind, attempt, "more", word), more)).otherwise("")
 
-    return F.concat(title, let(F.split(F.substring(match, F.char_length(title) + 1, F.char_length(match)), " "), whole))
+    for script in SYLLABLES:
+        end = F.when(kind == "given-f", ENDINGS[script, "f"]).when(kind == "given-m", ENDINGS[script, "m"]).otherwise("")
+        out = F.concat(out, F.when(_is(script, word), F.concat(grown(script), end)).otherwise(""))
+    return out
 
 
-def surrogate(key: str, kind: Column, match: Column, attempt: Column) -> Column:
-    """The replacement of a match; the match itself where kind is null."""
+def title_of(match: Column) -> Column:
+    return F.regexp_extract(match, rf"^((?:{_TITLES})\.? )", 1)
 
-    def made(noise):
-        by_kind = {
-            "email": _email(match, noise), "secret": _secret(match, noise), "name": _name(key, match, attempt), "ssn": _masked(match, noise),
-            "phone": _phone(match, noise), "ip": _address(match, noise), "card": _card(match, noise),
-        }
-        out = None
-        for name, value in by_kind.items():
-            out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
-        return out.otherwise(match)
 
-    return let(_noise(key, kind, canonical(kind, match), attempt), made)
+def name_words(match: Column) -> Column:
+    """The words of a name after its title, each with its type: of two or more the first is a first name."""
+    title = title_of(match)
+    given = F.when(title.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? $"), "given-f").otherwise("given-m")
+    words = F.split(F.substring(match, F.char_length(title) + 1, F.char_length(match)), " ")
+    return let(words, lambda w: F.transform(w, lambda x, i: F.struct(F.when((F.size(w) > 1) & (i == 0), given).otherwise("surname").alias("kind"), x.alias("match"), x.alias("value"))))
+
+
+def surrogate(key: str, kind: Column, match: Column, attempt: Column) -> Column:
+    """The replacement of one entity: of a match, or of a word of a name; the match itself where kind is null."""
+    by_kind = {
+        "email": _email(key, match, attempt), "secret": _secret(key, match, attempt), "ssn": let(permuted(key, "ssn", attempt, _chars(_digits(match))), lambda d: _laid(match, d)),
+        "phone": _phone(key, match, attempt), "ip": _address(key, match, attempt), "card": _card(key, match, attempt),
+    }
+    out = F.when(kind.isin("surname", "given-f", "given-m"), _word(key, kind, match, attempt))
+    for name, value in by_kind.items():
+        out = out.when(kind == name, value)
+    return out.otherwise(match)
+
+
+def space(kind: Column, value: Column) -> Column:
+    """Names the format that surrogates of an entity can't leave: its type, the digits that stay, its length; null where they can grow."""
+    kept = {
+        "ssn": F.lit(""), "card": F.concat(F.substring(value, 1, 1), F.lit("/"), F.char_length(value).cast("string")), "ip": F.regexp_extract(value, _KEPT, 1),
+        "phone": F.concat(F.regexp_extract(value, rf"^({CALLING}|\d{{3}})", 1), F.lit("/"), F.char_length(value).cast("string")),
+        "secret": F.regexp_replace(F.regexp_replace(value, "[A-Z]", "A"), "[0-9a-z]", "0"),
+    }
+    out = F.lit(None).cast("string")
+    for name, part in kept.items():
+        out = F.when(kind == name, F.concat_ws("\x1f", F.lit(name), part)).otherwise(out)
+    return out
 
 
 def found(text: Column) -> Column:
@@ -216,58 +293,73 @@ def found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
+def parts_of(match: Column) -> Column:
+    """The entities (kind, match, value) in a match: the words of a name, or the match itself; none where it has no type."""
+    own = lambda k: F.when(k == "name", name_words(match)).when(k.isNotNull(), F.array(F.struct(k.alias("kind"), match.alias("match"), canonical(k, match).alias("value"))))
+    return let(kind_of(match), own)
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, value, match): the distinct entities of the corpus, one spelling each."""
-    each = docs.select(F.explode(F.array_distinct(found(F.col(text_col)))).alias("match")).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
-    typed = each.withColumn("kind", kind_of(F.col("match"))).where("kind IS NOT NULL").withColumn("value", canonical(F.col("kind"), F.col("match")))
+    each = docs.select(F.explode(F.array_distinct(found(F.col(text_col)))).alias("found")).groupBy("found").agg(F.count(F.lit(1)).alias("n"))
+    typed = each.select(F.explode(parts_of(F.col("found"))).alias("e")).select("e.*")
     return typed.groupBy("kind", "value").agg(F.min("match").alias("match"))
 
 
-def exceptions(known: DataFrame, key: str, draws: int = 16) -> DataFrame:
-    """(kind, value, attempt) of the entities whose attempt isn't 0, so that surrogates are all distinct and
-    none is an entity of the corpus."""
+def exceptions(known: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
+    """(kind, value, attempt) of the entities whose attempt isn't 0, so that surrogates are all distinct and,
+    but for spaces that `draws` attempts don't do for, none is an entity of the corpus."""
     known = stored(known, "pii-entities")
     taken = known.select("kind", F.col("value").alias("made"))
-    state = known.withColumn("attempt", F.lit(0))
-    for _ in range(draws):
-        made = state.withColumn("made", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("match"), F.col("attempt"))))
-        made = stored(made, "pii-made")
-        first = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count(F.lit(1)).alias("n"))
-        clash = made.join(first.where("n > 1"), ["kind", "made"]).where("value != first.value").select("kind", "value")
-        clash = clash.unionAll(made.join(taken, ["kind", "made"], "left_semi").select("kind", "value")).distinct()
-        again = clash.withColumn("more", F.lit(1))
+    state = known.withColumns({"attempt": F.lit(0), "full": F.lit(False)})
+    for n in range(8 * draws):
+        made = canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("match"), F.col("attempt")))
+        made = stored(state.withColumn("made", made), "pii-made")
+        first = made.groupBy("kind", "made").agg(F.max_by("value", F.struct("full", -F.col("attempt"), "value")).alias("first"), F.count(F.lit(1)).alias("n"))
+        clash = made.join(first.where("n > 1"), ["kind", "made"]).where("value != first")
+        clash = clash.select("kind", "value", "full").unionAll(made.join(taken, ["kind", "made"], "left_semi").select("kind", "value", "full")).where("NOT full").select("kind", "value").distinct()
+        clash = stored(clash, "pii-clash")
         if clash.isEmpty():
             return state.where("attempt > 0").select("kind", "value", "attempt")
-        state = made.join(again, ["kind", "value"], "left").select("kind", "value", "match", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {draws} draws")
+        if n and n % draws == 0:
+            # The formats that still clash are full: all their entities go back to the permutation.
+            full = clash.withColumn("space", space(F.col("kind"), F.col("value"))).where("space IS NOT NULL").select("space").distinct().withColumn("now", F.lit(True))
+            state = made.withColumn("space", space(F.col("kind"), F.col("value"))).join(full, "space", "left")
+            state = state.select("kind", "value", "match", F.when(F.col("now"), 0).otherwise(F.col("attempt")).alias("attempt"), F.coalesce("now", "full").alias("full"))
+            made = stored(state, "pii-state")
+        state = made.join(clash.withColumn("more", F.lit(1)), ["kind", "value"], "left")
+        state = state.select("kind", "value", "match", F.when(F.col("full"), 0).otherwise(F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"), "full")
+    raise RuntimeError(f"surrogates still collide after {8 * draws} draws")
 
 
-def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with surrogates in text_col; count_col, if named, gets the number of replaced entities.
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, few: int = FEW) -> DataFrame:
+    """docs with surrogates in text_col; count_col, if named, gets the number of replaced matches.
 
     Every row and column stays. A null text stays null, an empty one empty, both with count 0; repeated
     rows get the same text; an empty table stays empty; texts are read whole.
     """
     text, hits, tries = F.col(text_col), free_name(docs, "_hits"), free_name(docs, "_tries")
     retry = stored(exceptions(entities(docs, text_col), key), "pii-exceptions")
-    typed = lambda t: F.transform(found(t), lambda m: let(kind_of(m), lambda k: F.struct(m.alias("match"), k.alias("kind"), canonical(k, m).alias("value"))))
-    out = docs.withColumn(hits, typed(text))
-    attempt = lambda kind, value: F.lit(0)
-    if not retry.isEmpty():
-        digest = free_name(docs, "_digest")
-        needed = (
-            docs.select(F.sha2(text, 256).alias(digest), F.explode(F.array_distinct(typed(text))).alias("e")).select(digest, "e.kind", "e.value").join(retry, ["kind", "value"]).distinct()
-            .groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "attempt"))).alias(tries))
-        )
-        out = out.withColumn(digest, F.sha2(text, 256)).join(needed, digest, "left").drop(digest)
-        attempt = lambda kind, value: F.coalesce(F.get(F.map_values(F.map_filter(F.col(tries), lambda k, v: k == F.concat_ws("\x1f", kind, value))), F.lit(0)), F.lit(0))
+    out = docs.withColumn(hits, F.transform(found(text), lambda m: F.struct(m.alias("match"), parts_of(m).alias("parts"))))
+    named = F.struct(F.concat_ws("\x1f", "kind", "value"), "attempt")
+    if many := retry.count():
+        if many <= few:
+            out = out.crossJoin(F.broadcast(retry.agg(F.map_from_entries(F.collect_list(named)).alias(tries))))  # one row of at most `few` entries
+        else:
+            digest = free_name(docs, "_digest")
+            each = docs.select(F.sha2(text, 256).alias(digest), F.explode(F.array_distinct(F.flatten(F.filter(F.transform(found(text), parts_of), lambda p: p.isNotNull())))).alias("e"))
+            needed = each.select(digest, "e.kind", "e.value").join(retry, ["kind", "value"]).distinct().groupBy(digest).agg(F.map_from_entries(F.collect_list(named)).alias(tries))
+            out = out.withColumn(digest, F.sha2(text, 256)).join(needed, digest, "left").drop(digest)
+        attempt = lambda kind, value: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("\x1f", kind, value)), F.lit(0))
+    else:
+        attempt = lambda kind, value: F.lit(0)
 
     def replaced(hit):
-        own = lambda a: surrogate(key, hit["kind"], hit["match"], a)
-        return F.when(hit["kind"].isNull(), hit["match"]).otherwise(let(attempt(hit["kind"], hit["value"]), own))
+        own = lambda e: let(attempt(e["kind"], e["value"]), lambda a: surrogate(key, e["kind"], e["match"], a))
+        return F.when(hit["parts"].isNull(), hit["match"]).otherwise(F.concat(title_of(hit["match"]), F.array_join(F.transform(hit["parts"], own), " ")))
 
     parts = F.split(text, ANY, -1)
     joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(let(F.get(F.col(hits), i), replaced), F.lit("")))), "")
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.col(hits), lambda h: h["kind"].isNotNull())), F.lit(0)))
+        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.col(hits), lambda h: h["parts"].isNotNull())), F.lit(0)))
     return out.withColumn(text_col, F.when(F.size(hits) > 0, joined).otherwise(text)).drop(hits, tries)

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import pii
 
@@ -44,16 +45,63 @@ def test_formats_stay(out):
 
 def test_names_keep_title_gender_script_and_link(out):
     m = re.search(r"Mrs\. (\w+) (\w+) met Mr (\w+) and г-жа (\w+) (\w+);", out[0]["text"])
-    assert m[1] in pii.GIVEN["latin", "f"] and m[2] == m[3]
-    assert m[4] in pii.GIVEN["cyrillic", "f"] and re.fullmatch("[А-Я][а-я]+", m[5])
+    assert re.fullmatch("[A-Z][a-z]+a", m[1]) and m[2] == m[3]
+    assert re.fullmatch("[А-Я][а-я]+а", m[4]) and re.fullmatch("[А-Я][а-я]+", m[5])
+
+
+def test_one_number_one_surrogate_in_every_spelling(spark, out):
+    spelled = ["+1 487 555 0209", "+14875550209", "+1-487-5550209", "(487) 555-0209", "487-555-0209", "+1 (487) 555-0209", "+44 20 7946 0958", "+442079460958", "+44.2079.460958"]
+    docs = spark.createDataFrame([(i, f"call {x}, please") for i, x in enumerate(spelled)], "doc_id long, text string")
+    got = [r["text"].removeprefix("call ").removesuffix(", please") for r in sorted(pii.pseudonymised(docs, "key").collect())]
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert [re.sub(r"\d", "0", x) for x in got] == [re.sub(r"\d", "0", x) for x in spelled]
+    assert len({d if x.startswith("+") else "1" + d for d, x in zip(digits[:6], spelled)}) == 1 and len(set(digits[6:])) == 1
+    assert digits[0].startswith("1") and digits[0] != "14875550209" and digits[6].startswith("44") and digits[6] != "442079460958"
+    both = swapped(spark, ["+1 (843) 555-7672 170.106.47.9 +44 20 7946 0958 170.106.47.9"])[0].split(" ")
+    assert len(both) == 9 and both[3] == both[8] != "170.106.47.9" and both[2] != "555-7672"
+    later = next(r["text"] for r in out if r["doc_id"] == 4)
+    assert re.match(r"Again \+1 [2-9]\d\d \d{3} \d{4} word", later) and len(later) == len("Again +1 487 555 7209 " + "word " * 20_000)
 
 
-def test_one_entity_one_surrogate_across_documents(out):
-    digits = lambda t: re.sub(r"\D", "", t)
-    phone = digits(re.search(r"\+1 \(\d+\) \d+-\d+", out[0]["text"])[0])
-    later = next(r["text"] for r in out if r["doc_id"] == 4)
-    assert digits(re.search(r"\+1 \d+ \d+ \d+", later)[0])[:1] == phone[:1]
-    assert len(later) == len("Again +1 487 555 7209 " + "word " * 20_000)
+def swapped(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(pii.pseudonymised(docs, "key", **options).select("doc_id", "text").collect())]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_surnames_stay_one_beside_many_first_names(spark, few):
+    """More namesakes than any list of first names holds: the surname's surrogate is one, first names stay distinct."""
+    given = [a + b for a in ("Ba", "Do", "Ke", "Li", "Mu") for b in ("ran", "vid", "los", "mek")]
+    texts = [f"Mr {g} Smith came" for g in given] + ["Mr Smith came"] + [f"Mr {a}{b} left" for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiou"]
+    got = swapped(spark, texts, few=few)
+    surname = got[20].split()[1]
+    words = [t.split() for t in got[:20]]
+    assert {w[2] for w in words} == {surname} and surname != "Smith"
+    assert len({w[1] for w in words}) == 20 and all(w[1].endswith("o") for w in words)
+
+
+def test_a_full_format_of_names_grows(spark):
+    """All hundred two-letter names of their format: no form of that length is free, so surrogates are longer."""
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiou"]
+    out = [re.fullmatch(r"Mr (\w+) came", t)[1] for t in swapped(spark, [f"Mr {n} came" for n in names])]
+    assert len(set(out)) == 100 and not set(out) & set(names)
+
+
+def test_a_full_network_is_permuted(spark):
+    """All 65,536 addresses of a private network: the surrogates are the same addresses, each once, all in it."""
+    texts = [" ".join(f"192.168.{a}.{b}," for b in range(256)) for a in range(256)]
+    out = [x for t in swapped(spark, texts) for x in t.replace(",", "").split()]
+    own = [x for t in texts for x in t.replace(",", "").split()]
+    assert len(set(out)) == 65_536 and set(out) <= {f"192.168.{a}.{b}" for a in range(256) for b in range(256)}
+    assert sum(a == b for a, b in zip(own, out)) < 20
+
+
+def test_permutation_is_one(spark):
+    for pattern in ("{:02d}", "a{:03d}", "{:01d}"):
+        n = 10 ** int(pattern[-3])
+        rows = spark.createDataFrame([(pattern.format(i),) for i in range(n)], "t string")
+        got = [r["p"] for r in rows.select(pii.permuted("k", "x", F.lit(0), pii._chars(F.col("t"))).alias("p")).collect()]
+        assert len(set(got)) == n
 
 
 def test_edge_rows(out):
@@ -64,7 +112,7 @@ def test_edge_rows(out):
 
 
 def test_collisions_are_drawn_again(spark):
-    """Thirty two-letter names have a hundred forms to go to, thirty of them taken: first draws must collide."""
+    """Thirty two-letter names have a hundred forms to go to, thirty of them taken: first draws must hit some."""
     names = [a + b for a in "BCDFGH" for b in "aeiou"]
     docs = spark.createDataFrame([(i, f"Mr {n} and Mr {names[i - 1]} came") for i, n in enumerate(names)], "doc_id long, text string")
     known = pii.entities(docs)
