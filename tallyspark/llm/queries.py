@@ -95,7 +95,7 @@ SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, CAST(any_valu
 FROM ds JOIN s USING (width, g) JOIN n ON n.k = s.k
 GROUP BY ds.dk, s.k HAVING count(*) >= ceil(0.8 * any_value(item_shingles) - 1e-9)""",
     "op5_warc": r"""
-WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(html, '') AS body FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS holder FROM p)
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:

@@ -4,9 +4,9 @@
 record in a header table; `records` rebuilds records by joining the two on the digest, and checks the
 payload against it. `write_warc` lays records out as real WARC/1.1 files through Spark's text writer
 (a record's text ends in the separator CRLF CRLF), so they can go to any store Spark writes to;
-`read_warc` reads such files by Content-Length. Among equal payloads the record with the largest page
-id holds the payload, the others revisit it; the choice is a partial aggregate, so a payload that a
-third of all pages share leaves each task once.
+`read_warc` reads such files by Content-Length. Each record has an id of its own, made of a row number and the page
+id. Among equal payloads the record with the largest page id holds the payload, the others revisit it by its record
+id; the choice is a partial aggregate, so a payload that a third of all pages share leaves each task once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh_path, stored
@@ -37,10 +37,12 @@ def base32(hex_digits: Column) -> Column:
     return F.translate(F.lower(F.array_join(groups, "")), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    """An id of the form urn:uuid whose last 16 digits are those of the page id."""
-    digits = F.lower(F.lpad(F.hex(page_id), 16, "0"))
-    return F.concat(F.lit("<urn:uuid:00000000-0000-8000-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12), F.lit(">"))
+def record_id(row: Column, page_id: Column) -> Column:
+    """An id of the form urn:uuid: its last 16 digits are those of the page id, those before tell the row, and the 14th
+    whether the page id is null. row is at least 0 and below 2^59."""
+    own = F.concat(F.lpad(F.hex(F.shiftrightunsigned(row, 8)), 12, "0"), F.lit("8"), F.when(page_id.isNull(), "1").otherwise("0"), F.lpad(F.hex(row.bitwiseAND(F.lit(255).cast("long"))), 2, "0"))
+    digits = F.lower(F.concat(own, F.lpad(F.hex(F.coalesce(page_id, F.lit(0).cast("long"))), 16, "0")))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -48,48 +50,48 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
-def header(page_id: Column, url: Column, digest: Column, n: Column, refers_to: Column) -> Column:
-    """The exact header of a record, its closing empty line included; refers_to is null for a response."""
+def header(own_id: Column, url: Column, digest: Column, n: Column, refers_to: Column) -> Column:
+    """The exact header of a record, its closing empty line included; refers_to, a record id, is null for a response."""
     revisit = refers_to.isNotNull()
     target = F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
     lines = [
-        F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), _line("WARC-Record-ID", record_id(page_id)), _line("WARC-Date", F.lit(DATE)),
+        F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), _line("WARC-Record-ID", own_id), _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Target-URI", target), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        _line("WARC-Refers-To", record_id(refers_to)), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.when(revisit, F.lit(0).cast("long")).otherwise(n).cast("string")), F.lit(CRLF),
+        _line("WARC-Refers-To", refers_to), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.when(revisit, F.lit(0).cast("long")).otherwise(n).cast("string")), F.lit(CRLF),
     ]
     return F.concat(*[F.coalesce(x, F.lit("")) for x in lines])
 
 
 @dataclass
 class Archive:
-    headers: DataFrame  # page_id, digest (SHA-256), holder (page id), holds (is the response), header
-    payloads: DataFrame  # digest, holder, payload
+    headers: DataFrame  # page_id, digest (SHA-256), holds (is a response), header
+    payloads: DataFrame  # digest, payload
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> Archive:
-    """A null payload is empty. Payloads of fewer than least_bytes are not shared: each page keeps its own.
+    """A null payload is empty. Records of payloads of fewer than least_bytes are all responses.
 
-    A null page id becomes -1. Of repeated rows of the holding page one is the response and the others
+    A null page id stays null and is smaller than any other. Of repeated rows of the holding page one is the response and the others
     revisit it. Other columns are ignored; an empty table gives empty tables.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.concat_ws("/", F.sha2("payload", 256), F.when(F.octet_length("payload") < least_bytes, F.col("page_id").cast("string"))))
-    held = rows.groupBy("digest").agg(F.max(F.struct("page_id", "payload")).alias("held"))
-    payloads = stored(held.select("digest", F.col("held.page_id").alias("holder"), F.col("held.payload").alias("payload")), "warc-payloads")
-    slim = stored(rows.select("page_id", "url", "digest", base32(F.sha1(F.col("payload"))).alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-rows")
-    joined = slim.join(payloads.select("digest", "holder"), "digest")
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
-    both = joined.where("page_id = holder").withColumn("holds", nth == 1).unionAll(joined.where("page_id != holder").withColumn("holds", F.lit(False)))
-    refers = F.when(~F.col("holds"), F.col("holder"))
-    headers = both.select("page_id", "digest", "holder", "holds", header(F.col("page_id"), F.col("url"), F.col("sha1"), F.col("n"), refers).alias("header"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    payloads = stored(rows.groupBy("digest").agg(F.max("payload").alias("payload")), "warc-payloads")
+    n = F.octet_length("payload").cast("long")
+    # The row number has to be below 2^59: 2^26 partitions of 2^33 rows.
+    slim = stored(rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "digest", base32(F.sha1(F.col("payload"))).alias("sha1"), n.alias("n")), "warc-rows")
+    holders = slim.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("holder"))
+    both = slim.join(holders, "digest").withColumn("holds", (F.col("row") == F.col("holder.row")) | (F.col("n") < least_bytes))
+    refers = F.when(~F.col("holds"), record_id(F.col("holder.row"), F.col("holder.page_id")))
+    headers = both.select("page_id", "digest", "holds", header(record_id(F.col("row"), F.col("page_id")), F.col("url"), F.col("sha1"), F.col("n"), refers).alias("header"))
     return Archive(stored(headers, "warc-headers"), payloads)
 
 
 def records(kept: Archive) -> DataFrame:
     """(page_id, header, payload): the original records, revisits with the payload they refer to; a payload
     that doesn't have its digest stops the job."""
-    checked = kept.payloads.select("digest", F.when(F.substring_index("digest", "/", 1) == F.sha2("payload", 256), F.col("payload")).otherwise(F.raise_error(F.lit("payload and digest differ"))).alias("payload"))
+    checked = kept.payloads.select("digest", F.when(F.col("digest") == F.sha2("payload", 256), F.col("payload")).otherwise(F.raise_error(F.lit("payload and digest differ"))).alias("payload"))
     return kept.headers.join(checked, "digest").select("page_id", "header", "payload")
 
 
@@ -151,17 +153,20 @@ def _field(head: bytes, name: str) -> str | None:
 
 
 def _page(record: str | None) -> int | None:
-    if record is None:
+    """The page id in a record id; null where it says so."""
+    digits = (record or "").strip("<>").replace("-", "")
+    if not digits or digits[-19] == "1":
         return None
-    n = int(record.strip("<>").replace("-", "")[-16:], 16)
+    n = int(digits[-16:], 16)
     return n - (1 << 64) if n >> 63 else n
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, uri, declared, refers_to, payload_bytes, payload_digest): a row per record;
-    payload_bytes and payload_digest are those of the bytes in the file, declared is the header's digest."""
-    names = ["page_id", "record_type", "uri", "declared", "refers_to", "payload_bytes", "payload_digest"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    """(page_id, record_id, record_type, uri, declared, refers_to, refers_id, payload_bytes, payload_digest): a row per record;
+    payload_bytes and payload_digest are those of the bytes in the file, declared is the header's digest, refers_id
+    the record id that a revisit names and refers_to the page id in it."""
+    names = ["page_id", "record_id", "record_type", "uri", "declared", "refers_to", "refers_id", "payload_bytes", "payload_digest"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -170,25 +175,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for head, payload in parsed(_inflated(content.as_py())):
                     declared = (_field(head, "WARC-Payload-Digest") or "").removeprefix("sha1:")
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    rows.append((_page(_field(head, "WARC-Record-ID")), _field(head, "WARC-Type"), _field(head, "WARC-Target-URI"), declared, _page(_field(head, "WARC-Refers-To")), len(payload), digest))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
+                    own, refers = _field(head, "WARC-Record-ID"), _field(head, "WARC-Refers-To")
+                    rows.append((_page(own), own, _field(head, "WARC-Type"), _field(head, "WARC-Target-URI"), declared, _page(refers), refers, len(payload), digest))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names)
 
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, record_type string, uri string, declared string, refers_to long, payload_bytes long, payload_digest string")
+    return files.mapInArrow(run, "page_id long, record_id string, record_type string, uri string, declared string, refers_to long, refers_id string, payload_bytes long, payload_digest string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives pages, writes WARC files, reads them back: (page_id, payload_bytes, payload_digest, record_type,
     refers_to). What a revisit's payload is comes from the response it refers to; a digest that differs from
-    the declared one stops the job."""
+    the declared one stops the job. A revisit's refers_to is null where the response's page id is."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(archive(pages), path)
     read = stored(read_warc(spark, path), "warc-read")
     responses = read.where("record_type = 'response'")
-    held = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
-    revisits = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(held, "refers_to", "left")
+    held = responses.select(F.col("record_id").alias("refers_id"), F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
+    revisits = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(held, "refers_id", "left")
     whole = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "declared").unionAll(
         revisits.select("page_id", "held_bytes", "held_digest", "record_type", "refers_to", "declared")
     )

@@ -33,6 +33,24 @@ def test_round_trip(spark, pages):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_clashing_and_null_ids(spark):
+    """One id over several payloads, null ids, repeated rows: as a plain Python account of the rules has it."""
+    rows = [(5, "AAA"), (5, "BBB"), (3, "AAA"), (None, "AAA"), (None, "CCC"), (None, "CCC"), (None, "DDD"), (5, "BBB"), (-1, "CC"), (None, None), (-1, "DD"), (-1, "CC")]
+    df = spark.createDataFrame([(p, "http://x/", h) for p, h in rows], "page_id long, url string, html string")
+    expected, seen = [], set()
+    for p, h in rows:
+        ids = [q for q, g in rows if (g or "") == (h or "")]
+        holder = max((q for q in ids if q is not None), default=None)
+        first = p == holder and (p, h) not in seen
+        seen.add((p, h))
+        expected.append((p, len(h or ""), digest(h), "response" if first else "revisit", None if first else holder))
+    got = [tuple(r) for r in warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    heads = [r["header"] for r in warc.archive(df).headers.collect()]
+    ids = [h.split("WARC-Record-ID: ")[1].split("\r")[0] for h in heads]
+    assert len(set(ids)) == len(rows) and all(len(i) == len("<urn:uuid:>") + 36 for i in ids)
+
+
 def test_payloads_are_stored_once_and_records_rebuilt(pages):
     kept = warc.archive(pages)
     assert kept.payloads.count() == len({r[2] or "" for r in ROWS})
