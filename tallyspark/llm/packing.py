@@ -14,6 +14,7 @@ rows whatever the corpus, and for runs of equal bins at once. The plan maps (len
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ END_ID = 0
 SALT_ROWS = 50_000
 # Fixed value: how byte-level vocabularies of this kind split text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of blanks on which the faster encoder would run out of stack.
+_LONG_BLANK = re.compile(r"\s{20000}")
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -59,8 +62,8 @@ def ranks_of(spec: dict) -> dict[bytes, int] | None:
 
 class Encoder:
     """Ids as little-endian bytes. The tokenizer's own library defines them; where its file is a plain byte-level
-    vocabulary, a faster encoder with the same ranks gives the same ids (tests compare the two); texts that hold an added
-    token go the defining way."""
+    vocabulary, a faster encoder with the same ranks gives the same ids (tests compare the two). Texts that hold an added
+    token or a very long run of blanks, which its pattern can't take, go the defining way, as do those that it fails on."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -73,8 +76,12 @@ class Encoder:
             self.added = [x["content"] for x in spec.get("added_tokens", ())]
 
     def ids(self, text: str) -> bytes:
-        if self.fast is not None and not any(x in text for x in self.added):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        if self.fast is not None and not any(x in text for x in self.added) and not _LONG_BLANK.search(text):
+            try:
+                return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            except BaseException as e:
+                if type(e).__name__ != "PanicException":
+                    raise
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -188,19 +195,21 @@ def best_fit(histogram: dict[int, int], tokens: int = TOKENS, max_docs: int | No
 def pack(parts: DataFrame, tokens: int = TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", salt_rows: int = SALT_ROWS) -> DataFrame:
     """parts(doc_id, piece, start, length, ...), read twice -> parts with sequence_id and offset.
 
-    Null ids, repeated rows and ties are packed like any other row; an empty table packs to nothing.
+    Null ids, repeated rows and ties are packed like any other row; an empty table packs to nothing. A column _row,
+    a number of each row, deals rows to salts and is left out; without it rows alike share a salt.
     """
     spark = parts.sparkSession
     histogram = {int(r[0]): int(r[1]) for r in parts.groupBy("length").count().collect()}  # at most `tokens` rows
     plan = spark.sparkContext.broadcast(best_fit(histogram, tokens, max_docs, max_cost, rule))
     salts = max(1, -(-sum(histogram.values()) // salt_rows))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*(["_row"] if "_row" in parts.columns else ["doc_id", "piece", "ids_crc32"])), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(own) - 1).join(bases, ["length", "_salt"])
-    ranked = ranked.select(*parts.columns, (F.col("_base") + F.col("_rank")).alias("_rank"))
-    length_at, names = parts.columns.index("length"), [*parts.columns, "sequence_id", "offset"]
+    given = parts.drop("_row")
+    ranked = ranked.select(*given.columns, (F.col("_base") + F.col("_rank")).alias("_rank"))
+    length_at, names = given.columns.index("length"), [*given.columns, "sequence_id", "offset"]
 
     def run(batches):
         for batch in batches:
@@ -209,7 +218,7 @@ def pack(parts: DataFrame, tokens: int = TOKENS, max_docs: int | None = None, ma
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names)
 
     bound_batches(spark)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     return ranked.mapInArrow(run, f"{columns}, sequence_id long, offset long")
 
 
@@ -219,7 +228,8 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     A null or empty text is its end id alone. Texts are encoded whole and once; the pieces are kept in
     the shared folder. Other columns of docs are ignored.
     """
-    parts = stored(pieces(docs, tokenizer_path, id_col, text_col, tokens, end_id, with_ids), "pieces")
+    parts = pieces(docs, tokenizer_path, id_col, text_col, tokens, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id())
+    parts = stored(parts, "pieces")
     return pack(parts, tokens, max_docs, max_cost, rule)
 
 

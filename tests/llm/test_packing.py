@@ -31,6 +31,11 @@ def test_odd_texts(encoder, text):
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == defining(encoder, text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + "\t" * 2_000_000 + "b", "x\u2003" * 3 + "\u2003" * 1_000_000, "z" * 2_000_000, "1" * 500_000, "?" * 500_000, "a " * 500_000], ids=list("bntuzdqa"))
+def test_very_long_runs(encoder, text):
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == defining(encoder, text)
+
+
 @pytest.mark.parametrize("n, expected", [(1, [(0, 1)]), (4, [(0, 4)]), (5, [(0, 1), (1, 4)]), (8, [(0, 4), (4, 4)]), (11, [(0, 3), (3, 4), (7, 4)])])
 def test_cuts(n, expected):
     assert packing.cuts(n, 4) == expected
@@ -114,5 +119,23 @@ def test_round_trip(spark, sf_dir, encoder, salt_rows):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_repeated_ids_over_different_texts(spark):
+    """Null and repeated ids, each over several texts: every piece has one place and sequences have no gap."""
+    texts = ["", "a b", "long " * 3000, "\n" * 30_000, None]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts for _ in range(3)], "doc_id long, text string")
+    parts = packing.pieces(docs, packing.default_tokenizer()).cache()
+    rows = packing.pack(parts, salt_rows=5).collect()
+    assert len(rows) == parts.count()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), packing.default_tokenizer()).count() == 0
