@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to Python; with texts of some KB a batch stays at a few MB.
 ARROW_ROWS = 1000
+#: Bytes of one Arrow batch, about, where the engine can bound them.
+ARROW_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; a local one where that is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = tempfile.mkdtemp(prefix="tallyspark-")
             spark.sparkContext.setCheckpointDir(base)
@@ -51,8 +55,8 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Before Python runs on executors: hands them this package, and lowers the rows of an Arrow batch,
-    so that long texts don't fill a worker."""
+    """Before Python runs on executors: hands them this package, and lowers the rows and bytes of an Arrow batch,
+    so that long texts don't fill a worker. Plans run later, so the session keeps these settings."""
     sc = spark.sparkContext
     if getattr(sc, "_tallyspark_sent", None) is None:
         package = Path(__file__).resolve().parents[1]
@@ -65,6 +69,7 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def free_name(df: DataFrame, name: str) -> str:
