@@ -187,31 +187,39 @@ def concat_ws_key(s):
     return s.flows.groupBy(F.concat_ws("|", F.col("month").cast("string"), F.coalesce("state", F.lit("∅")), "side", "client").alias("k")).agg(F.count("*").alias("n"))
 
 
-@op("text_normalize", "SELECT doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 200)), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[_\\s-]+', ' ', 'g')) AS plain FROM documents")
+@op("text_normalize", "SELECT doc_id, trim(regexp_replace(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[_\\s-]+', ' ', 'g')) AS plain FROM documents")
 def text_normalize(s):
-    return s.raw("documents").select("doc_id", fn.plain(F.substring("text", 1, 200)).alias("plain"))
+    return s.raw("documents").select("doc_id", fn.plain(F.col("text")).alias("plain"))
 
 
-_NUMBERS = ("1.234,56", "R$ 2,5 mi", "1,234.5", "12%", "3 bilhões", "1e3", "abc", "-7,5", "10 mil", "1.234", "2.5")
+_NUMBERS = {
+    "1.234,56": 1234.56, "R$ 2,5 mi": 2500000.0, "1,234.5": 1234.5, "12%": 12.0, "3 bilhões": 3000000000.0, "1e3": 1000.0, "abc": None, "-7,5": -7.5, "10 mil": 10000.0, "1.234": 1.234, "2.5": 2.5,
+    "1,234": 1.234, "12.345": 12.345, "5,0 p.p.": 5.0, "3 pp": 3.0, "1.234.567": 1234567.0, "1,234,567": 1234567.0, "−4": -4.0, "mil": None, "1 2": 12.0, "2,5 trilhões.": 2500000000000.0, "": None,
+}
 
 
-@op("parse_localized_number", "SELECT text, CAST(value AS DOUBLE) AS value FROM (VALUES ('1.234,56', 1234.56), ('R$ 2,5 mi', 2500000.0), ('1,234.5', 1234.5), ('12%', 12.0), ('3 bilhões', 3000000000.0), ('1e3', 1000.0), ('abc', NULL), ('-7,5', -7.5), ('10 mil', 10000.0), ('1.234', 1234.0), ('2.5', 2.5)) AS v(text, value)")
+@op("parse_localized_number", "SELECT text, CAST(value AS DOUBLE) AS value FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v})" for k, v in _NUMBERS.items()) + ") AS v(text, value)")
 def parse_localized_number(s):
     return s.spark.createDataFrame([(x,) for x in _NUMBERS], "text string").withColumn("value", fn.parse_number(F.col("text")))
 
 
-@op("parse_month", "SELECT month, CAST(year(month) * 100 + month(month) AS BIGINT) AS a, CAST(year(month) * 100 + month(month) AS BIGINT) AS b, CAST(year(month) * 100 + month(month) AS BIGINT) AS c FROM months")
+@op("parse_month", "SELECT month, " + ", ".join(f"CAST(year(month) * 100 + month(month) AS BIGINT) AS {k}" for k in "abcdef") + " FROM months")
 def parse_month(s):
     m = F.col("month")
     name = F.element_at(F.array(*[F.lit(x) for x in fn.text._MONTHS]), F.month(m))
-    text = [F.date_format(m, "yyyy-MM"), F.date_format(m, "MM/yyyy"), F.concat(name, F.lit("/"), F.year(m).cast("string"))]
-    return s.months.select("month", *[fn.parse_month(t).alias(k) for t, k in zip(text, "abc")])
+    year = F.year(m).cast("string")
+    text = [F.date_format(m, "yyyy-MM"), F.date_format(m, "MM/yyyy"), F.concat(name, F.lit("/"), year), F.date_format(m, "yyyy-MM-dd"), F.date_format(m, "yyyy-M"), F.concat(F.initcap(name), F.lit("o. de "), year)]
+    return s.months.select("month", *[fn.parse_month(t).alias(k) for t, k in zip(text, "abcdef")])
 
 
-@op("parse_bool_words", "SELECT * FROM (VALUES ('Sim', true), ('NÃO', false), ('acima', true), ('abaixo', false), ('1', true), ('0', false), ('s', true), ('x', NULL)) AS v(word, value)")
+#: A cell alone, in a column of flags, and in a column named acima_da_media.
+_WORDS = {"Sim": (True, True, True), "NÃO": (False, False, False), "acima": (None, None, True), "Abaixo de todos": (None, None, False), "1": (None, True, None), "0": (None, False, None), "s": (None, True, None), "f": (None, False, None), "x": (None, None, None), "5,0": (None, None, None)}
+
+
+@op("parse_bool_words", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', " + ", ".join({None: "NULL", True: "true", False: "false"}[x] for x in v) + ")" for k, v in _WORDS.items()) + ") AS v(word, cell, flag, named)")
 def parse_bool_words(s):
-    words = s.spark.createDataFrame([(x,) for x in ("Sim", "NÃO", "acima", "abaixo", "1", "0", "s", "x")], "word string")
-    return words.withColumn("value", fn.parse_bool(F.col("word")))
+    words, w = s.spark.createDataFrame([(x,) for x in _WORDS], "word string"), F.col("word")
+    return words.select("word", fn.parse_bool(w).alias("cell"), fn.parse_bool(w, flags=True).alias("flag"), fn.parse_bool(w, "acima_da_media").alias("named"))
 
 
 @op("half_up_round_units", "SELECT month, CAST(round(CAST(sum(amount) AS DECIMAL(28,2)), 0) AS DOUBLE) AS units, CAST(round(CAST(sum(amount) AS DECIMAL(28,2)) / 1, 1) AS DOUBLE) AS tenths FROM fct GROUP BY 1")
