@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.models import _REBUILT, _RECON, reconstruction
 from ..plans.portable import by, portable
-from .common import op
+from .common import op, short
 from .presentation import _D, decision
 from .relational import _STOCK, by_month
 
@@ -85,7 +85,7 @@ def an_context_sizing(s):
 
 @op("an_sample_overlap", r", w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark), j AS (SELECT a.item_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.item_id <> b.item_id) SELECT item_id, round(max(s), 9) AS closest FROM j GROUP BY 1")
 def an_sample_overlap(s):
-    w = s.raw("benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("w"))
+    w = short(s.raw("benchmark")).select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("w"))
     other = F.broadcast(w.select(F.col("item_id").alias("b"), F.col("w").alias("wb")))
     share = F.size(F.array_intersect("w", "wb")) / F.size(F.array_union("w", "wb"))
     return w.join(other, F.col("item_id") != F.col("b")).groupBy("item_id").agg(F.round(F.max(share), 9).alias("closest"))

@@ -18,3 +18,14 @@ def op(name: str, sql: str | None = None) -> Callable[[Callable[[Star], DataFram
         return f
 
     return put
+
+
+#: Rows of a list whose pairs are all compared, with one side broadcast.
+SHORT_ROWS = 20_000
+
+
+def short(df: DataFrame, rows: int = SHORT_ROWS) -> DataFrame:
+    """df, if it has at most so many rows; an error otherwise, as all its pairs would be too many."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} rows, too many to compare each with each")
+    return df

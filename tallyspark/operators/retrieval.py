@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.portable import portable
-from .common import op
+from .common import op, short
 
 
 @op("txt_clean_lines", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM documents")
@@ -82,17 +82,30 @@ def vec_normalize(s):
     return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
+#: Query vectors of one broadcast block.
+BLOCK_QUERIES = 10_000
+
+
 def nearest(s, k: int = 5) -> DataFrame:
-    """Exact top k for ten queries: queries are broadcast (ten vectors), each partition keeps its best k
-    before the ranking shuffles."""
+    """Exact top k among all vectors for every vector whose id is divisible by 100.
+
+    The queries go out in blocks of BLOCK_QUERIES vectors at about most, each broadcast; a partition keeps its best k
+    of a query before the ranking shuffles.
+    """
     e = s.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("e").alias("q")))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     dot = F.round(F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id")
-    return e.crossJoin(q).select("query", "vec_id", dot.alias("sim")).withColumn("pos", F.row_number().over(w).cast("bigint")).where(F.col("pos") <= k)
+    out = None
+    for block in range(blocks):
+        q = F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block))
+        best = e.crossJoin(q).select("query", "vec_id", dot.alias("sim")).withColumn("pos", F.row_number().over(w).cast("bigint")).where(F.col("pos") <= k)
+        out = best if out is None else out.unionAll(best)
+    return out
 
 
-_TOP = """, e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), d AS (SELECT q.vec_id AS query, d.vec_id, round(list_dot_product(d.e, q.e), 6) AS sim FROM e d, e q WHERE q.vec_id < 10),
+_TOP = """, e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), d AS (SELECT q.vec_id AS query, d.vec_id, round(list_dot_product(d.e, q.e), 6) AS sim FROM e d, e q WHERE q.vec_id % 100 = 0),
   top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS pos FROM d QUALIFY pos <= 5)""".replace(" top AS", " best AS")
 op("vec_topk", f"{_TOP} SELECT query, vec_id, sim, pos FROM best")(nearest)
 
@@ -134,15 +147,33 @@ def ret_coverage_at_k(s):
     return nearest(s).join(labels, "vec_id").join(own, "query").withColumn("c", seen).groupBy(F.col("pos").alias("k")).agg(F.round(F.avg("c"), 9).alias("coverage"))
 
 
-@op("txt_ngram_coverage", """, b AS (SELECT item_id, text FROM benchmark WHERE item_id < 5), g AS (SELECT DISTINCT item_id, substr(text, CAST(i AS BIGINT), 8) AS g FROM b, generate_series(1, 1000) AS x(i) WHERE i <= length(text) - 7)
-  SELECT item_id, doc_id, round(CAST(count(*) FILTER (contains(d.text, g)) AS DOUBLE) / count(*), 9) AS coverage FROM g, documents d WHERE doc_id < 50 GROUP BY 1, 2""")
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def runs(df: DataFrame, id_col: str, size: int) -> DataFrame:
+    """(id_col, g): the runs of `size` characters of whole texts; letters are split once a text, so that it costs its length."""
+    cut = lambda c: F.transform(F.when(F.size(c) >= size, F.sequence(F.lit(1), F.size(c) - size + 1)), lambda i: F.array_join(F.slice(c, i, size), ""))
+    return df.select(id_col, F.explode(F.get(F.transform(F.array(_letters(F.col("text"))), cut), F.lit(0))).alias("g"))
+
+
+def ngram_coverage(items: DataFrame, docs: DataFrame, size: int = 8, least: float = 0.5) -> DataFrame:
+    """(item_id, doc_id, coverage): the share of an item's distinct character runs that a document holds, where it is `least` or more.
+
+    An equi-join on runs: a run of a document travels only where an item has it, if items are few enough for Spark
+    to broadcast; otherwise both sides are dealt by run.
+    """
+    own = runs(items, "item_id", size).distinct()
+    sizes = own.groupBy("item_id").agg(F.count("*").alias("n"))
+    found = runs(docs, "doc_id", size).join(own, "g").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("m"))
+    return found.join(sizes, "item_id").where(F.col("m") / F.col("n") >= least).select("item_id", "doc_id", F.round(F.col("m") / F.col("n"), 9).alias("coverage"))
+
+
+@op("txt_ngram_coverage", """, g AS (SELECT DISTINCT item_id, substr(text, i, 8) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 6)) AS i FROM benchmark)), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
+  d AS (SELECT DISTINCT doc_id, substr(text, i, 8) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 6)) AS i FROM documents)), m AS (SELECT item_id, doc_id, count(*) AS m FROM d JOIN g USING (g) GROUP BY 1, 2)
+  SELECT item_id, doc_id, round(CAST(m AS DOUBLE) / n, 9) AS coverage FROM m JOIN n USING (item_id) WHERE CAST(m AS DOUBLE) / n >= 0.5""")
 def txt_ngram_coverage(s):
-    """Few definitions against few texts: the share of a definition's 8-character runs that a text holds."""
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 7), lambda i: F.substring("text", i, F.lit(8))))
-    items = F.broadcast(s.raw("benchmark").where("item_id < 5 AND length(text) >= 8").select("item_id", runs.alias("g")))
-    docs = s.raw("documents").where("doc_id < 50").select("doc_id", "text")
-    found = F.size(F.filter("g", lambda g: F.contains(F.col("text"), g)))
-    return docs.crossJoin(items).select("item_id", "doc_id", F.round(found / F.size("g"), 9).alias("coverage"))
+    return ngram_coverage(s.raw("benchmark"), s.raw("documents"))
 
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))"
@@ -150,8 +181,8 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'),
 
 @op("txt_jaccard", f", w AS (SELECT item_id, {_WORDS} AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id")
 def txt_jaccard(s):
-    """All pairs of the benchmark's items, a list that is short by its nature."""
-    w = s.raw("benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("w"))
+    """All pairs of the benchmark's items, as the comparison asks for; a list that is short by its nature, which is checked."""
+    w = short(s.raw("benchmark")).select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("w"))
     a, b = w.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
     share = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(share, 9).alias("jaccard"))

@@ -20,6 +20,27 @@ def test_money_is_strict(spark):
         one(spark, "12.345,00", fn.money)
 
 
+@pytest.mark.parametrize("text, month", [("2024-3", 202403), ("2024-03-31", 202403), ("marco de 2024", 202403), ("Março/2024", 202403), ("em 7/2023", 202307), ("dez. 2020", 202012), ("dez 2020", 202012), ("foo 2020", None), ("", None)])
+def test_months(spark, text, month):
+    assert one(spark, text, fn.parse_month) == month
+
+
+def test_runs_against_brute_force(spark):
+    from tallyspark.operators import retrieval
+
+    items = {1: "a definition that is looked for", 2: "short", 3: "ação é ñ números €", 4: "aaaaaaaaaaaa"}
+    docs = {1: "here is a definition that is looked for, all of it", 2: "a definition that isn't", 3: "ação é ñ números €", 4: "", 5: None, 6: "aaaaaaaa", 7: "a definition that is lo" * 300}
+    got = retrieval.ngram_coverage(spark.createDataFrame(list(items.items()), "item_id int, text string"), spark.createDataFrame(list(docs.items()), "doc_id int, text string"))
+    expected = []
+    for i, t in items.items():
+        own = {t[k : k + 8] for k in range(len(t) - 7)}
+        for d, u in docs.items():
+            share = sum(g in (u or "") for g in own) / len(own) if own else 0
+            if share >= 0.5:
+                expected.append((i, d, round(share, 9)))
+    assert sorted(tuple(r) for r in got.collect()) == expected and len(expected) > 3
+
+
 def test_dates(spark):
     assert one(spark, "00000000", fn.date_or_null) is None
     assert one(spark, "20240229", fn.date_or_null) == dt.date(2024, 2, 29)
@@ -78,6 +99,18 @@ def test_tails():
     assert abs(statistics.t_tail(2.228138852, 10) - 0.025) < 1e-7
 
 
+def test_noninferiority_level():
+    """At the level found, the interval's lower end is the margin, and above it for every smaller z of a fine scan."""
+    for e, f, g, h in ((40, 8, 5, 10), (80, 3, 4, 13), (10, 0, 0, 90), (50, 10, 20, 20), (5, 30, 1, 4)):
+        p = statistics.noninferiority_p(e, f, g, h, -0.05)
+        if (f - g) / (e + f + g + h) <= -0.05:
+            assert p == 1.0
+            continue
+        z = statistics.NormalDist().inv_cdf(1 - p)
+        assert abs(statistics.newcombe_low(e, f, g, h, z) + 0.05) < 1e-6
+        assert all(statistics.newcombe_low(e, f, g, h, x) > -0.05 for x in np.arange(0.001, z - 1e-6, 0.001))
+
+
 def test_forecasts_see_the_past_only():
     y = np.cumsum(np.random.default_rng(3).normal(1, 0.2, 40)) + 20
     assert np.allclose(forecasting.drift(np.arange(20.0)), [20, 21, 22])

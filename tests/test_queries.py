@@ -8,7 +8,7 @@ from tallyspark import registry
 SAMPLE = """q01_yoy_total q02_growth_pct q04_growth_two_windows q07_rate_delta_pp q13_corr_income_pf q14_underserved_business q20_hhi q26_lag_corr q29_anomaly_12 q30_comparability q38_break_effect_v2 d18 d19
 clean_money clean_date_markers suppression_interval parse_localized_number parse_month join_asof_backward join_asof_quarter join_range_le join_full_outer_reconcile set_except_symmetric agg_median_exact agg_rollup_series
 win_row_number_dedup win_cumulative_share int_stock_events int_intervals mart_monthly mart_by_state mart_decision fct_policy_rate dq_reconcile_marts dq_generic stat_newcombe stat_mcnemar_exact stat_holm
-match_identify vec_topk ret_mrr txt_chunk fc_drift fc_break_adjust ui_quintiles geo_point_in_polygon stream_closed_windows guard_allowlist scan_csv_text scan_csv_multiline""".split()
+match_identify text_normalize parse_bool_words txt_ngram_coverage ret_hit_at_k ret_coverage_at_k vec_topk ret_mrr txt_chunk fc_drift fc_break_adjust ui_quintiles geo_point_in_polygon stream_closed_windows guard_allowlist scan_csv_text scan_csv_multiline""".split()
 
 
 @pytest.fixture(scope="module")
