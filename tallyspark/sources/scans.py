@@ -18,7 +18,11 @@ from ..operators.relational import by_month, by_state
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
+    """A fresh path in the folder that all executors share; in a local one where that is unset and the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="tallyspark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
