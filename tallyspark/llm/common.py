@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; with texts of some KB a batch stays at a few MB.
 ARROW_ROWS = 1000
@@ -72,6 +73,21 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def joined_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """left LEFT JOIN right, which has one row a key, where one key may be that of a third of left.
+
+    Up to `most` rows of right are broadcast; of more, the `most` with the largest weight (rows of left) are, and only
+    rows of other keys are dealt by key. Null keys are never dealt.
+    """
+    if right.count() <= most:
+        return left.join(F.broadcast(right), key, "left")
+    heavy = right.orderBy(F.desc(weight), key).limit(most)
+    mark = free_name(left, "_heavy")
+    near = left.join(F.broadcast(heavy.withColumn(mark, F.lit(True))), key, "left")
+    far = left.where(F.col(key).isNotNull()).join(F.broadcast(heavy.select(key)), key, "left_anti").join(right, key, "left")
+    return near.where(F.col(mark).isNotNull() | F.col(key).isNull()).drop(mark).unionByName(far)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores after it, that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -13,13 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, joined_by_hot_key, stored
 
 #: Labelled URLs that the trees are fitted on, those of the smallest xxhash64(url).
 SAMPLE_ROWS = 20_000
 #: Parts of the labelled URLs; a URL's suffix statistics for training come from the parts that it isn't in.
 FOLDS = 5
-#: Suffixes up to which their statistics are broadcast (some 60 bytes each); beyond, the join shuffles both sides.
+#: Suffixes whose statistics are broadcast (some 60 bytes each), those of the most pages; pages of others are dealt by suffix.
 BROADCAST_SUFFIXES = 100_000
 #: Weight of the overall rate in a suffix's rate.
 PRIOR_ROWS = 20.0
@@ -164,22 +164,23 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: flo
     return Trees(base, found, rate)
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url", sample_rows: int = SAMPLE_ROWS, broadcast_suffixes: int = BROADCAST_SUFFIXES) -> DataFrame:
     """pages and the columns host, path, rule, verdict, score (the trees' share of `block`).
 
     labelled(url, blocked 0/1) are the URLs to learn from; without it the URLs of pages that a rule fits
     are, labelled by their rule. Suffix statistics of a training URL come from the other folds, so that they
     don't give its own label away. A null url or one without ://
     has an empty host and path. Repeated rows give a row each and an empty table no row; columns of pages
-    with the names of new ones are replaced. Where nothing is labelled the score is 0.5 and the verdict allow.
+    with the names of new ones are replaced, all others stay. Where nothing is labelled the score is 0.5 and the verdict allow.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
-    given = {c: F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")}
-    base = pages.select(*given.values(), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    given = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "score")]
+    by_rule, end, blocked, many, own_x = (free_name(pages, n) for n in ("_ruled", "_suffix", "_blocked", "_rows", "_features"))
+    base = pages.select(*[F.col(f"`{c}`") for c in given], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
-    base = base.withColumns({"rule": rule, "_ruled": verdict})
+    base = base.withColumns({"rule": rule, by_rule: verdict})
     if labelled is None:
-        known = base.where("rule IS NOT NULL").select(url.alias("url"), "host", "path", (F.col("_ruled") == "block").cast("int").alias("y"))
+        known = base.where("rule IS NOT NULL").select(url.alias("url"), "host", "path", (F.col(by_rule) == "block").cast("int").alias("y"))
     else:
         known = labelled.where("url IS NOT NULL AND blocked IN (0, 1)").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
     known = known.withColumns({"suffix": suffix_of(F.col("host")), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS))})
@@ -187,8 +188,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
     counts = by_fold.groupBy("suffix").agg(F.sum("blocked_in").alias("blocked"), F.sum("rows_in").alias("rows"))
     counts = stored(counts, "url-suffixes")
     total = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    kept = [F.col(f"`{c}`") for c in given]
     if not total[1]:
-        return base.select(*given, "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"), F.lit(0.5).alias("score"))
+        return base.select(*kept, "host", "path", "rule", F.coalesce(by_rule, F.lit("allow")).alias("verdict"), F.lit(0.5).alias("score"))
     overall = total[0] / total[1]
 
     def rate(blocked: Column, rows: Column) -> list[Column]:
@@ -199,10 +201,15 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFram
     rows = sample.select(F.concat(lexical(F.col("url"), F.col("host"), F.col("path")), F.array(*own)).alias("x"), "y").collect()  # at most sample_rows
     rows.sort(key=lambda r: (r[0], r[1]))
     model = fit(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float))
-    renamed = counts.withColumnsRenamed({"suffix": "_suffix", "blocked": "_blocked", "rows": "_rows"})
-    joined = base.withColumn("_suffix", suffix_of(F.col("host"))).join(F.broadcast(renamed) if total[2] <= BROADCAST_SUFFIXES else renamed, "_suffix", "left")
-    none = [F.coalesce(c, F.lit(0)) for c in ("_blocked", "_rows")]
-    scored = joined.withColumn("_features", F.concat(lexical(url, F.col("host"), F.col("path")), F.array(*rate(*none))))
-    scored = scored.withColumn("score", 1 / (1 + F.exp(-model.margin(F.col("_features")))))
+    base = base.withColumn(end, suffix_of(F.col("host")))
+    if total[2] <= broadcast_suffixes:
+        joined = base.join(F.broadcast(counts.select(F.col("suffix").alias(end), F.col("blocked").alias(blocked), F.col("rows").alias(many))), end, "left")
+    else:
+        pages_of = base.groupBy(end).agg(F.count(F.lit(1)).alias("pages")).join(counts, F.col(end) == F.col("suffix"), "left")
+        pages_of = stored(pages_of.select(end, F.col("blocked").alias(blocked), F.col("rows").alias(many), "pages"), "url-pages")
+        joined = joined_by_hot_key(base, pages_of.withColumnRenamed("pages", free_name(pages, "_pages")), end, free_name(pages, "_pages"), broadcast_suffixes)
+    none = [F.coalesce(F.col(c), F.lit(0)) for c in (blocked, many)]
+    scored = joined.withColumn(own_x, F.concat(lexical(url, F.col("host"), F.col("path")), F.array(*rate(*none))))
+    scored = scored.withColumn("score", 1 / (1 + F.exp(-model.margin(F.col(own_x)))))
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return scored.select(*given, "host", "path", "rule", F.coalesce("_ruled", method).alias("verdict"), "score")
+    return scored.select(*kept, "host", "path", "rule", F.coalesce(F.col(by_rule), method).alias("verdict"), "score")

@@ -47,6 +47,19 @@ def test_whole_table(spark, sf_dir):
         assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
 
 
+def test_names_that_the_method_uses(spark):
+    """Columns of pages named like working columns stay as they are, and change no verdict."""
+    extra = {"_rows": 5, "_blocked": 6, "_suffix": 7, "_RULED": 8, "_features": 9, "_pages": 1, "suffix": 10, "y": 11, "blocked": 12}
+    plain = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 3)], "page_id long, url string")
+    named = plain.withColumns({k: F.lit(v) for k, v in extra.items()})
+    for most in (100_000, 2):
+        got = urls.judged(named, broadcast_suffixes=most)
+        assert got.columns[:-5] == named.columns
+        rows = sorted(got.collect())
+        assert all(r[k] == v for r in rows for k, v in extra.items())
+        assert [(r["verdict"], round(r["score"], 9)) for r in rows] == [(r["verdict"], round(r["score"], 9)) for r in sorted(urls.judged(plain).collect())]
+
+
 def test_learns_from_labelled_urls(spark):
     rows = [(f"https://h{i}.example.{'org' if i % 3 else 'com'}/{'a/b/c/d' if i % 2 else 'x'}/{i}", i % 2) for i in range(600)]
     known, rest = spark.createDataFrame(rows[:400], "url string, blocked int"), spark.createDataFrame([(u, b) for u, b in rows[400:]], "url string, blocked int")
