@@ -3,8 +3,8 @@
 Sources of evidence, each a likelihood of what was seen given the language:
 text (hashed byte trigrams, naive Bayes with a tempered length), the declared markup language, the
 address suffix, and a host prior smoothed towards its suffix and the whole corpus. Tables of the last
-three are grouped sums of the text's own posteriors over all rows; a row's own share is taken out of
-its host's before it is used. Training texts are the labelled documents; labels serve for nothing else.
+three are grouped sums of the texts' posteriors over all rows; a row's own share is taken out of
+each before it is used. A markup value or suffix counts by how its languages differ from the corpus's. Training texts are the labelled documents; labels serve for nothing else.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored
+from .common import bound_batches, joined_by_hot_key, stored
 
 CELLS = 1 << 13
 #: The text's evidence counts as this many trigrams at most.
 MOST_TRIGRAMS = 200.0
-#: Pseudo-rows of a host's suffix and of the corpus in the host's prior, and of noise in declared languages.
-SUFFIX_ROWS, CORPUS_ROWS, NOISE_ROWS = 5.0, 5.0, 0.5
+#: Pseudo-rows of a host's suffix and of the corpus in the host's prior, and of the corpus in a markup value or suffix.
+SUFFIX_ROWS, CORPUS_ROWS, VALUE_ROWS = 5.0, 5.0, 2.0
+#: Bytes of a table of sums that is broadcast; of larger ones its rows of the most texts are.
+BROADCAST_BYTES = 8 << 20
 
 
 def _trigrams(text: str | None) -> np.ndarray:
@@ -100,7 +102,7 @@ def _soft(ll: Column, n: int) -> list[Column]:
     return [F.exp(ll[i]) / total for i in range(n)]
 
 
-def identified(rows: DataFrame, labelled: DataFrame, label_col: str = "lang", text_col: str = "text") -> DataFrame:
+def identified(rows: DataFrame, labelled: DataFrame, label_col: str = "lang", text_col: str = "text", most_broadcast: int | None = None) -> DataFrame:
     """rows(key columns, text, markup, suffix, host) -> key columns, lang, confidence, text_lang.
 
     lang is the language of the largest posterior, ties to the first in alphabetical order; text_lang the
@@ -116,37 +118,36 @@ def identified(rows: DataFrame, labelled: DataFrame, label_col: str = "lang", te
     seen = stored(likelihoods(rows, languages, table).withColumn("p", F.array(*_soft(F.col("ll"), n))), "language-text")
 
     def sums(by: str) -> DataFrame:
-        own = seen.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
-        return own.select(by, F.array(*[f"s{i}" for i in range(n)]).alias(f"{by}_sum"))
+        own = seen.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_rows"), *[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
+        return stored(own.select(by, f"{by}_rows", F.array(*[f"s{i}" for i in range(n)]).alias(f"{by}_sum")), f"language-{by}")
 
-    hosts = sums("host")
     corpus = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(n)]).first()
+    base = np.array(corpus, float) + 1.0
+    base /= base.sum()
+    joined = seen
+    for by in ("host", "markup", "suffix"):
+        joined = joined_by_hot_key(joined, sums(by), by, f"{by}_rows", max(most_broadcast or BROADCAST_BYTES // (8 * n + 64), 1))
+    even = F.array(*[F.lit(0.0)] * n)
 
-    # Markup and suffixes: every value's sums, joined as tables.
-    markups, suffixes = stored(sums("markup"), "language-markup"), stored(sums("suffix"), "language-suffix")
+    def others(by: str) -> Column:
+        """The sums of a value without the row's own share; zeros for a null."""
+        return F.when(F.col(f"{by}_sum").isNotNull(), F.zip_with(f"{by}_sum", "p", lambda s, p: F.greatest(s - p, F.lit(0.0)))).otherwise(even)
 
-    def evidence(by: str, values: int) -> Column:
-        """log P(value | language) as an array; even for a null."""
-        logs = [F.log((F.col(f"{by}_sum")[i] + NOISE_ROWS) / (corpus[i] + NOISE_ROWS * (values + 1))) for i in range(n)]
-        return F.when(F.col(f"{by}_sum").isNotNull(), F.array(*logs)).otherwise(even)
+    joined = joined.withColumns({"_hs": others("host"), "_ms": others("markup"), "_xs": others("suffix")})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    joined = joined.withColumns({"_ht": total("_hs"), "_mt": total("_ms"), "_xt": total("_xs")})
 
-    even = F.array(*[F.lit(0.0)] * n)
-    markup, suffix = evidence("markup", markups.count()), evidence("suffix", suffixes.count())
-    base = np.array(corpus, float) + 1.0
-    base /= base.sum()
-    joined = seen.join(hosts, "host", "left").join(markups, "markup", "left").join(suffixes, "suffix", "left")
-    joined = joined.withColumns({"_m": markup, "_x": suffix, "_xs": F.coalesce("suffix_sum", even)})
-    host_total = F.aggregate("host_sum", F.lit(0.0), lambda a, x: a + x)
-    xs_total = F.aggregate("_xs", F.lit(0.0), lambda a, x: a + x)
+    def evidence(i: int, sums: str, of: str) -> Column:
+        """log P(value | language), but for what all languages share: P(language | value) over P(language)."""
+        return F.log((F.col(sums)[i] + VALUE_ROWS * float(base[i])) / ((F.col(of) + VALUE_ROWS) * float(base[i])))
 
     def log_prior(i: int) -> Column:
-        of_suffix = (F.col("_xs")[i] + CORPUS_ROWS * float(base[i])) / (xs_total + CORPUS_ROWS)
-        rest = F.greatest(F.col("host_sum")[i] - F.col("p")[i], F.lit(0.0))
-        of_host = (rest + SUFFIX_ROWS * of_suffix) / (host_total - 1 + SUFFIX_ROWS)
-        return F.log(F.greatest(F.coalesce(of_host, of_suffix), F.lit(1e-9)))
+        of_suffix = (F.col("_xs")[i] + CORPUS_ROWS * float(base[i])) / (F.col("_xt") + CORPUS_ROWS)
+        of_host = (F.col("_hs")[i] + SUFFIX_ROWS * of_suffix) / (F.col("_ht") + SUFFIX_ROWS)
+        return F.log(F.greatest(of_host, F.lit(1e-9)))
 
     # The host's prior already leans on its suffix, so the suffix adds its own factor only where there's no host.
-    post = [F.col("ll")[i] + F.col("_m")[i] + F.when(F.col("host").isNull(), F.col("_x")[i]).otherwise(0.0) + log_prior(i) for i in range(n)]
+    post = [F.col("ll")[i] + evidence(i, "_ms", "_mt") + F.when(F.col("host").isNull(), evidence(i, "_xs", "_xt")).otherwise(0.0) + log_prior(i) for i in range(n)]
     joined = joined.withColumn("_post", F.array(*post)).withColumn("_top", F.array_max("_post"))
     names = F.array(*[F.lit(x) for x in languages])
     share = 1 / F.aggregate(F.col("_post"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))

@@ -72,3 +72,38 @@ def test_more_than_64_languages_and_suffixes(spark):
     rows = [(100 + k, "the cat and the dog", f"m{k // 2}", f"s{k // 2}", None) for k in range(140)] + [(1, "le chat et les chiens", "rare", "rare", None), (2, "", "rare", "rare", None)]
     got = {r["id"]: r["lang"] for r in language.identified(spark.createDataFrame(rows, schema), two).collect()}
     assert got[2] == "b"
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_against_a_plain_account(spark, small, most):
+    """Every posterior computed row by row in plain Python, with tables broadcast whole and in part."""
+    languages, table = language.train(small)
+    rng = np.random.default_rng(3)
+    texts = ["the cat and the dog", "le chat et les chiens", "the chat", "", None, "les dog went home", "?"]
+    pick = lambda options: options[rng.integers(len(options))]
+    rows = [(i, pick(texts), pick(["en", "fr", "xx", None, f"m{i}"]), pick(["com", "fr", None]), pick(["h", "h", "g", None, f"own{i}"])) for i in range(120)]
+
+    def softened(text):
+        counts = language._trigrams(text)
+        ll = counts @ table.T * min(1.0, language.MOST_TRIGRAMS / max(1.0, counts.sum())) / 3
+        return ll - ll.max()
+
+    lls = [softened(r[1]) for r in rows]
+    ps = [np.exp(x) / np.exp(x).sum() for x in lls]
+    base = sum(ps) + 1
+    base = base / base.sum()
+    expected = {}
+    for i, r in enumerate(rows):
+        other = lambda c: sum((ps[j] for j, q in enumerate(rows) if j != i and r[c] is not None and q[c] == r[c]), np.zeros(2))  # noqa: E731, B023
+        m, x, h = other(2), other(3), other(4)
+        told = lambda s: np.log((s + 2 * base) / ((s.sum() + 2) * base))  # noqa: E731, B023
+        of_suffix = (x + 5 * base) / (x.sum() + 5)
+        post = lls[i] + told(m) + (told(x) if r[4] is None else 0) + np.log((h + 5 * of_suffix) / (h.sum() + 5))
+        share = np.exp(post - post.max())
+        expected[i] = (languages[int(post.argmax())], 1 / share.sum())
+    df = spark.createDataFrame(rows, "id long, text string, markup string, suffix string, host string")
+    got = language.identified(df, small, most_broadcast=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, confidence = expected[r["id"]]
+        assert abs(r["confidence"] - confidence) < 1e-6 and (r["lang"] == lang or confidence < 0.500001), r
