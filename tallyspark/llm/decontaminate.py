@@ -5,16 +5,19 @@ Items are partitioned by their number of shingles, [2^j, 2^(j+1)). In a partitio
 has u shingles, an item's sketch is its k = u - ceil(threshold * u) + 1 smallest shingle hashes
 (bottom-k MinHash): at most k - 1 of an item's shingles may be missing, so a document that contains
 the item holds at least one hash of its sketch. Documents probe the sketches once, whatever their
-length, and each candidate is verified on the shingles themselves, not on hashes.
+length, with all their shingle hashes and not a signature: a document's own MinHash signature would lose short items in
+long texts (the README has the recall). Each candidate is verified on the shingles themselves, not on hashes.
 
 The items go out in blocks of a fixed size (`BLOCK_SHINGLES`), one broadcast and one scan a block, so
-a worker's memory doesn't grow with the benchmark. Documents are never shuffled.
+a worker's memory doesn't grow with the benchmark. Documents are never shuffled for one block.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, free_name, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -182,16 +185,38 @@ def decontaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """docs without the rows that contain an item; all columns stay and no row moves between tasks."""
+    """docs without the rows that contain an item; all columns stay.
+
+    With one block of items no row moves between tasks. With more, each block is a pass of its own over the texts,
+    which returns the digests of those that contain an item, and these texts are left out in the end: a worker holds
+    one block at a time.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
-    at = docs.columns.index(text_col)
-    for sketches in item_blocks(items, item_id, item_text, threshold, shingle_words, block):
-        shared = spark.sparkContext.broadcast(sketches)
-
-        def run(batches, shared=shared):
+    at, texts, found = docs.columns.index(text_col), docs.select(F.col(text_col).cast("string").alias("text")), []
+    blocks = item_blocks(items, item_id, item_text, threshold, shingle_words, block)
+    last = next(blocks, None)
+    if last is None:
+        return docs
+    shared = spark.sparkContext.broadcast(last)
+
+    def clean(batches, shared=shared):
+        for batch in batches:
+            yield batch.filter(pa.array([not shared.value.hits(normal_words(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+    def hit(own):
+        def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.hits(normal_words(t.as_py())) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(0) if own.value.hits(normal_words(t.as_py()))], pa.string())], ["digest"])
+
+        return run
+
+    for sketches in blocks:
+        if not found:
+            found.append(stored(texts.mapInArrow(hit(shared), "digest string").distinct(), "leaks"))
+        found.append(stored(texts.mapInArrow(hit(spark.sparkContext.broadcast(sketches)), "digest string").distinct(), "leaks"))
+    if not found:
+        return docs.mapInArrow(clean, docs.schema)
+    bad, own = reduce(DataFrame.unionAll, found).distinct(), free_name(docs, "_digest")
+    marked = docs.withColumn(own, F.sha2(F.col(text_col).cast("string"), 256))
+    return marked.join(bad, marked[own] == bad["digest"], "left_anti").drop(own)
