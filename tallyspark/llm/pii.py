@@ -137,118 +137,101 @@ def _shifted(c: Column, by: Column) -> Column:
 
 
 def _hex_shifted(c: Column, by: Column) -> Column:
+    """A digit of lower-case hexadecimal moved on."""
     return let(F.instr(F.lit("0123456789abcdef"), c), lambda at: F.substring(F.lit("0123456789abcdef"), (at - 1 + by) % 16 + 1, F.lit(1)))
 
 
 def _octet_shifted(c: Column, by: Column) -> Column:
-    return ((c.cast("int") + by) % 256).cast("string")
+    """A number below 256 moved on; null for what is no number."""
+    return ((c.try_cast("int") + by) % 256).cast("string")
 
 
-def permuted(key: str, kind: Column | str, attempt: Column, units: Column, shifted: Callable[[Column, Column], Column] = _shifted, sep: str = "") -> Column:
-    """The units (an array) under a keyed permutation, joined by sep: four rounds, each of which shifts every other
-    unit by noise from the units that stay."""
+def permuted(key: str, kind: Column, attempt: Column, units: Column, shifted: Callable[[Column, Column], Column] = _shifted) -> Column:
+    """The units (an array) under a keyed permutation: four rounds, each of which shifts every other unit by noise
+    from the units that stay."""
 
     def again(value: Column, r: int) -> Column:
         if r == 4:
-            return F.array_join(value, sep)
-        still = F.array_join(F.filter(value, lambda c, i: i % 2 != r % 2), sep)
+            return value
+        still = F.array_join(F.filter(value, lambda c, i: i % 2 != r % 2), ".")
         moved = lambda noise: F.transform(value, lambda c, i: F.when(i % 2 == r % 2, shifted(c, _drawn(noise, (i / 2).cast("int")))).otherwise(c))
         return let(let(_noise(key, kind, attempt, str(r), still), moved), lambda v: again(v, r + 1))
 
     return let(units, lambda v: again(v, 0))
 
 
-def _laid(spelling: Column, drawn: Column) -> Column:
-    """The digits of spelling replaced by those of drawn, from left to right."""
-    nth = lambda i: F.char_length(_digits(F.substring(spelling, F.lit(1), i)))
-    return F.array_join(F.transform(_chars(spelling), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(drawn, nth(i + 1), F.lit(1))).otherwise(c)), "")
-
-
-def _email(key: str, match: Column, attempt: Column) -> Column:
-    """The local part keeps its format and the case of its letters; a host goes to one of its own, a letter longer an attempt."""
-    local, host = F.substring_index(match, "@", 1), F.lower(F.substring_index(match, "@", -1))
-    top = F.substring_index(host, ".", -1)
-    letters = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), 10 + attempt), lambda i: F.substring(F.lit("bcdfghjklmnpqrstvwxz"), _drawn(n, i) % 20 + 1, F.lit(1))), "")
-    cased = lambda drawn: F.array_join(F.transform(_chars(local), lambda c, i: let(F.substring(drawn, i + 1, F.lit(1)), lambda d: F.when(c != F.lower(c), F.upper(d)).otherwise(d))), "")
-    own = let(permuted(key, "email", attempt, _chars(F.lower(local))), cased)
-    return F.concat(own, F.lit("@"), let(_noise(key, "host", attempt, host), letters), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("org")))
-
-
-def _card(key: str, match: Column, attempt: Column) -> Column:
-    """The first digit, the length and the separators stay; the last digit makes the check sum right."""
-    digits = _digits(match)
-    body = F.concat(F.substring(digits, 1, 1), permuted(key, "card", attempt, _chars(F.substring(digits, F.lit(2), F.char_length(digits) - 2))))
-    last = lambda b: F.pmod(10 - check_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")
-    return let(let(body, lambda b: F.concat(b, last(b))), lambda drawn: _laid(match, drawn))
-
-
 #: First octets of public networks, and the parts of an address that stay.
 _PUBLIC = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
 _KEPT = r"^(10\.|127\.|(?:192|172)\.\d+\.|0\.|2(?:2[4-9]|[34]\d|5[0-5])\.)"
+_WORDS = ("surname", "given-f", "given-m")
 
 
-def _address(key: str, match: Column, attempt: Column) -> Column:
-    """Four octets; what tells a network that isn't public stays, a public address stays public."""
-    kept = F.regexp_extract(match, _KEPT, 1)
-    head = F.when(kept != "", kept).otherwise(F.concat(F.substring_index(match, ".", 1), F.lit(".")))
-    rest = permuted(key, "ip", attempt, F.split(F.substring(match, F.char_length(head) + 1, F.lit(15)), r"\."), _octet_shifted, ".")
-
-    def whole(tail):
-        by = _drawn(_noise(key, "ip", attempt, "first", tail), F.lit(0))
-        at = F.array_position(F.array(*[F.lit(n) for n in _PUBLIC]), F.substring_index(match, ".", 1).cast("int")).cast("int")
-        first = F.concat(_at(_PUBLIC, (at - 1 + by) % len(_PUBLIC) + 1).cast("string"), F.lit("."))
-        return F.concat(F.when(kept != "", kept).otherwise(first), tail)
+def pieces(kind: Column, match: Column) -> Column:
+    """What of an entity stays or is drawn apart (`kept`), and the units that are permuted.
 
-    return let(rest, whole)
-
-
-def _phone(key: str, match: Column, attempt: Column) -> Column:
-    """The country code stays; the first digit after it stays 0 or 1, or something else."""
-    digits = canonical(F.lit("phone"), match)
-    code = F.regexp_extract(digits, rf"^({CALLING}|\d{{3}})", 1)
-    first, rest = F.substring(digits, F.char_length(code) + 1, F.lit(1)), F.substring(digits, F.char_length(code) + 2, F.lit(20))
+    A phone number keeps its country code, a card its first digit, a secret what names it; of an address that stays which
+    tells a network that isn't public, else its first octet is drawn apart, as the first digit of a phone number is.
+    """
+    digits, phone, rest = _digits(match), canonical(F.lit("phone"), match), F.lit(1000)
+    code = F.regexp_extract(phone, rf"^({CALLING}|\d{{3}})", 1)
+    address = F.coalesce(F.nullif(F.regexp_extract(match, _KEPT, 1), F.lit("")), F.concat(F.substring_index(match, ".", 1), F.lit(".")))
+    kept = (
+        F.when(kind == "email", F.lower(F.substring_index(match, "@", -1))).when(kind == "phone", code).when(kind == "card", F.substring(digits, 1, 1))
+        .when(kind == "secret", F.regexp_extract(match, "^([^\"']*[\"']|AKIA)", 1)).when(kind == "ip", address).otherwise("")
+    )
 
-    def national(tail):
-        by = _drawn(_noise(key, "phone", attempt, "first", tail), F.lit(0))
-        lead = F.when(first.isin("0", "1"), (first.cast("int") + by) % 2).otherwise((first.cast("int") - 2 + by) % 8 + 2).cast("string")
-        return F.concat(F.when(match.startswith("+"), code).otherwise(""), lead, tail)
+    def with_units(k: Column) -> Column:
+        text = (
+            F.when(kind == "email", F.lower(F.substring_index(match, "@", 1))).when(kind == "phone", F.substring(phone, F.char_length(k) + 2, rest)).when(kind == "card", F.substring(digits, F.lit(2), F.char_length(digits) - 2))
+            .when(kind == "secret", F.regexp_extract(F.substring(match, F.char_length(k) + 1, F.char_length(match)), "^([^\"']*)", 1)).when(kind == "ssn", digits).otherwise(match)
+        )
+        units = F.when(kind == "ip", F.split(F.substring(match, F.char_length(k) + 1, rest), r"\.")).otherwise(_chars(text))
+        return F.struct(k.alias("kept"), units.alias("units"))
 
-    drawn = let(permuted(key, F.concat(F.lit("phone"), code), attempt, _chars(rest)), national)
-    return let(drawn, lambda d: _laid(match, d))
+    return let(kept, with_units)
 
 
-def _secret(key: str, match: Column, attempt: Column) -> Column:
-    """What names the secret stays, and hexadecimal stays hexadecimal."""
-    head = F.regexp_extract(match, "^([^\"']*[\"']|AKIA)", 1)
+def _laid(spelling: Column, drawn: Column) -> Column:
+    """The digits of spelling replaced by those of drawn, from left to right."""
+    nth = lambda i: F.char_length(_digits(F.substring(spelling, F.lit(1), i)))
+    return F.array_join(F.transform(_chars(spelling), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(drawn, nth(i + 1), F.lit(1))).otherwise(c)), "")
 
-    def value(body):
-        inner = F.regexp_extract(body, "^([^\"']*)", 1)
-        end = F.substring(body, F.char_length(inner) + 1, F.lit(1))
-        drawn = F.when(inner.rlike("^[0-9a-f]+$"), permuted(key, "secret", attempt, _chars(inner), _hex_shifted)).otherwise(permuted(key, "secret", attempt, _chars(inner)))
-        return F.concat(drawn, end)
 
-    return F.concat(head, let(F.substring(match, F.char_length(head) + 1, F.char_length(match)), value))
+def _email(key: str, match: Column, host: Column, drawn: Column, attempt: Column) -> Column:
+    """The local part keeps the case of its letters; a host goes to one of its own, a letter longer an attempt."""
+    top = F.substring_index(host, ".", -1)
+    letters = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), 10 + attempt), lambda i: F.substring(F.lit("bcdfghjklmnpqrstvwxz"), _drawn(n, i) % 20 + 1, F.lit(1))), "")
+    cased = F.array_join(F.transform(_chars(F.substring_index(match, "@", 1)), lambda c, i: let(F.substring(drawn, i + 1, F.lit(1)), lambda d: F.when(c != F.lower(c), F.upper(d)).otherwise(d))), "")
+    return F.concat(cased, F.lit("@"), let(_noise(key, "host", attempt, host), letters), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("org")))
 
 
-def _is(script: str, word: Column) -> Column:
-    return word.rlike(r"^\p{IsCyrillic}" if script == "cyrillic" else r"^\p{IsLatin}")
+def _number(kind: Column, match: Column, kept: Column, drawn: Column, by: Column) -> Column:
+    """The digits that a number gets: a phone's first digit after the code stays 0 or 1, or something else; a card's last
+    digit makes the check sum right."""
+    first = F.substring(canonical(F.lit("phone"), match), F.char_length(kept) + 1, F.lit(1)).cast("int")
+    lead = F.when(first < 2, (first + by) % 2).otherwise((first - 2 + by) % 8 + 2).cast("string")
+    last = lambda b: F.concat(b, F.pmod(10 - check_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
+    phone = F.concat(F.when(match.startswith("+"), kept).otherwise(""), lead, drawn)
+    return F.when(kind == "phone", phone).when(kind == "card", let(F.concat(kept, drawn), last)).otherwise(drawn)
 
 
-def _word(key: str, kind: Column, word: Column, attempt: Column) -> Column:
-    """The surrogate of a word of a name; kind is surname, given-f or given-m."""
-    out = permuted(key, kind, attempt, _chars(word))
+def _address(match: Column, kept: Column, drawn: Column, by: Column) -> Column:
+    """What tells a network that isn't public stays; a public address stays public."""
+    at = F.array_position(F.split(F.lit(" ".join(map(str, _PUBLIC))), " "), F.substring_index(match, ".", 1)).cast("int")
+    first = F.concat(_at(_PUBLIC, (at - 1 + by) % len(_PUBLIC) + 1).cast("string"), F.lit("."))
+    return F.concat(F.when(match.rlike(_KEPT), kept).otherwise(first), drawn)
 
-    def grown(script: str) -> Column:
-        consonants, vowels = SYLLABLES[script]
-        letter = lambda letters, number: F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))
-        syllable = lambda noise, i: F.concat(letter(consonants, _drawn(noise, 2 * i)), letter(vowels, _drawn(noise, 2 * i + 1)))
-        more = lambda noise: F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: syllable(noise, i)), "")
-        return F.when(attempt > 0, let(_noise(key, kind, attempt, "more", word), more)).otherwise("")
 
-    for script in SYLLABLES:
-        end = F.when(kind == "given-f", ENDINGS[script, "f"]).when(kind == "given-m", ENDINGS[script, "m"]).otherwise("")
-        out = F.concat(out, F.when(_is(script, word), F.concat(grown(script), end)).otherwise(""))
-    return out
+def _word(key: str, kind: Column, word: Column, drawn: Column, attempt: Column) -> Column:
+    """The surrogate of a word of a name: longer by a syllable an attempt, and with its gender's end."""
+    cyrillic, latin = word.rlike(r"^\p{IsCyrillic}"), word.rlike(r"^\p{IsLatin}")
+    script = lambda of: F.when(cyrillic, F.lit(of("cyrillic"))).otherwise(F.lit(of("latin")))
+    letter = lambda kind, number: F.substring(script(lambda s: SYLLABLES[s][kind]), number % F.char_length(script(lambda s: SYLLABLES[s][kind])) + 1, F.lit(1))
+    syllable = lambda noise, i: F.concat(letter(0, _drawn(noise, 2 * i)), letter(1, _drawn(noise, 2 * i + 1)))
+    more = lambda noise: F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: syllable(noise, i)), "")
+    grown = F.when(attempt > 0, let(_noise(key, kind, attempt, "more", word), more)).otherwise("")
+    end = F.when(kind == "given-f", script(lambda s: ENDINGS[s, "f"])).when(kind == "given-m", script(lambda s: ENDINGS[s, "m"])).otherwise("")
+    return F.concat(drawn, F.when(cyrillic | latin, F.concat(grown, end)).otherwise(""))
 
 
 def title_of(match: Column) -> Column:
@@ -265,14 +248,24 @@ def name_words(match: Column) -> Column:
 
 def surrogate(key: str, kind: Column, match: Column, attempt: Column) -> Column:
     """The replacement of one entity: of a match, or of a word of a name; the match itself where kind is null."""
-    by_kind = {
-        "email": _email(key, match, attempt), "secret": _secret(key, match, attempt), "ssn": let(permuted(key, "ssn", attempt, _chars(_digits(match))), lambda d: _laid(match, d)),
-        "phone": _phone(key, match, attempt), "ip": _address(key, match, attempt), "card": _card(key, match, attempt),
-    }
-    out = F.when(kind.isin("surname", "given-f", "given-m"), _word(key, kind, match, attempt))
-    for name, value in by_kind.items():
-        out = out.when(kind == name, value)
-    return out.otherwise(match)
+
+    def made(p):
+        tweak = F.when(kind == "phone", F.concat(kind, p["kept"])).otherwise(kind)
+        hexadecimal = (kind == "secret") & F.forall(p["units"], lambda c: c.rlike("[0-9a-f]"))
+        shifted = lambda c, by: F.when(kind == "ip", _octet_shifted(c, by)).when(hexadecimal, _hex_shifted(c, by)).otherwise(_shifted(c, by))
+        joined = lambda u: F.when(kind == "ip", F.array_join(u, ".")).otherwise(F.array_join(u, ""))
+        return let(let(permuted(key, tweak, attempt, p["units"], shifted), joined), lambda drawn: by_kind(p["kept"], drawn))
+
+    def by_kind(kept, drawn):
+        by = lambda then: let(_drawn(_noise(key, kind, attempt, "first", drawn), F.lit(0)), then)
+        rest = F.char_length(kept) + F.char_length(drawn)
+        return (
+            F.when(kind.isin(*_WORDS), _word(key, kind, match, drawn, attempt)).when(kind == "email", _email(key, match, kept, drawn, attempt))
+            .when(kind == "secret", F.concat(kept, drawn, F.substring(match, rest + 1, F.char_length(match)))).when(kind == "ip", by(lambda n: _address(match, kept, drawn, n)))
+            .when(kind.isin("ssn", "phone", "card"), let(by(lambda n: _number(kind, match, kept, drawn, n)), lambda d: _laid(match, d))).otherwise(match)
+        )
+
+    return F.when(kind.isNull(), match).otherwise(let(pieces(kind, match), made))
 
 
 def space(kind: Column, value: Column) -> Column:

@@ -100,7 +100,7 @@ def test_permutation_is_one(spark):
     for pattern in ("{:02d}", "a{:03d}", "{:01d}"):
         n = 10 ** int(pattern[-3])
         rows = spark.createDataFrame([(pattern.format(i),) for i in range(n)], "t string")
-        got = [r["p"] for r in rows.select(pii.permuted("k", "x", F.lit(0), pii._chars(F.col("t"))).alias("p")).collect()]
+        got = [r["p"] for r in rows.select(F.array_join(pii.permuted("k", F.lit("x"), F.lit(0), pii._chars(F.col("t"))), "").alias("p")).collect()]
         assert len(set(got)) == n
 
 
