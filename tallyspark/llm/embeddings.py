@@ -21,7 +21,7 @@ from .components import connected_components
 THRESHOLD = 0.98
 #: Vectors that the centres are fitted on, those of the smallest xxhash64(id); centres at most; rows of a block.
 SAMPLE_ROWS = 20_000
-MAX_CELLS = 512
+MAX_CELLS = 4096
 BLOCK_ROWS = 2048
 #: Slack that covers rounding in the bound on visits.
 _SLACK = 1e-6
@@ -82,8 +82,10 @@ def near_duplicates(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = stored(rows.withColumn("v", F.when(F.col("label").isNotNull() & (F.size("v") > 0) & finite & (top > 0), F.transform("v", lambda x: x / top))), "vectors")
-    classes = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    rows = rows.withColumn("v", F.when(F.col("label").isNotNull() & (F.size("v") > 0) & finite & (top > 0), F.transform("v", lambda x: x / top)))
+    # Equal vectors meet by 128 bits of hash, not by their components; the first hash is free of the second's seed.
+    rows = stored(rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit("second"), "v")}), "vector-rows")
+    classes = rows.where("v IS NOT NULL").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.any_value("v").alias("v"))
     classes = stored(classes.withColumn("u", F.transform("v", lambda x: x / norm)).withColumn("d", F.size("v")), "vector-classes")
     total = classes.count()
     zero = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -92,15 +94,14 @@ def near_duplicates(
 
     # Centres: fitted for the commonest length only; vectors of any other length share one cell.
     length = classes.groupBy("d").count().orderBy(F.desc("count"), "d").first()["d"]
-    sample = classes.where(F.col("d") == length).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("u").collect()
+    sample = classes.where(F.col("d") == length).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("u").toArrow()
     cells = int(min(max_cells, max(1, (total // 64) ** 0.5)))
-    centres = spherical_kmeans(np.array([r[0] for r in sample]), cells)
+    centres = spherical_kmeans(_matrix(sample.column("u").combine_chunks()), cells)
     shared = spark.sparkContext.broadcast(centres)  # at most max_cells vectors
     reach = (2 - 2 * threshold) ** 0.5
 
     def place(batches):
         c = shared.value
-        apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) * reach + _SLACK
         for batch in batches:
             same = np.asarray(batch.column(3)) == c.shape[1]
             out = [([int(i)], [0]) for i in np.flatnonzero(~same)]
@@ -108,7 +109,8 @@ def near_duplicates(
                 if len(at):
                     dots = _matrix(batch.column(2).take(pa.array(at))) @ c.T
                     home = dots.argmax(1)
-                    visit = (dots[np.arange(len(at)), home][:, None] - dots <= apart[home]) & (np.arange(len(c))[None, :] <= home[:, None])
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T)) * reach + _SLACK
+                    visit = (dots[np.arange(len(at)), home][:, None] - dots <= apart) & (np.arange(len(c))[None, :] <= home[:, None])
                     visit[np.arange(len(at)), home] = True
                     r, cell = np.nonzero(visit)
                     out.append((at[r].tolist(), np.where(cell == home[r], cell, -cell - 1).tolist()))
@@ -161,7 +163,7 @@ def near_duplicates(
     counts = found.where("other IS NULL").groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     classed = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classed = classed.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = rows.where("v IS NOT NULL").join(classed, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    classed = classed.select("label", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = rows.where("v IS NOT NULL").join(classed, ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
     single = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
