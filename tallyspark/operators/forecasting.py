@@ -1,5 +1,5 @@
 """Forecasts of monthly series: candidates, rolling origins, errors and choice. Series are few and short;
-sums over the cells come first, and what no expression can say runs per series in Arrow batches."""
+sums over the cells come first, and what no expression can say runs per series in Arrow batches (`functions/timeseries.py`)."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..binding import Star, kept
+from ..functions import timeseries as ts
+from ..functions.timeseries import Z80
 from . import statistics
 from .common import op
-from .statistics import Z80, dm_statistic, t_tail
+from .statistics import dm_statistic, t_tail
 
 _SERIES = """, cube AS (SELECT month, CASE WHEN grouping(product) = 0 THEN 'product:' || product WHEN grouping(state) = 0 THEN 'state:' || state ELSE 'all' END AS series, CAST(sum(amount) AS DOUBLE) AS a FROM fct GROUP BY GROUPING SETS ((month), (month, product), (month, state))),
   ser AS (SELECT s.series, m.month, coalesce(c.a, 0) AS amount FROM (SELECT DISTINCT series FROM cube) s CROSS JOIN months m LEFT JOIN cube c ON c.series = s.series AND c.month = m.month)"""
@@ -67,135 +69,122 @@ def fc_seasonal_naive(s):
     return then.join(spread, "series").select("series", "h", F.col("amount").alias("forecast"), F.round(F.col("amount") - Z80 * F.col("srms"), 4).alias("low"))
 
 
-# Candidates: each takes the past and returns the next three values.
-def naive(y: np.ndarray) -> np.ndarray:
-    return np.repeat(y[-1], 3)
+def monthly(s: Star) -> DataFrame:
+    """(series, month, t, amount, rate): the series with the number of the month from 1 on and the policy rate at its end."""
+    last = s.rates.groupBy(F.last_day("day").alias("month")).agg(F.max_by("rate", "day").alias("rate"))
+    calendar = s.months.select("month", F.row_number().over(Window.orderBy("month")).alias("t")).join(last, "month", "left")
+    return series(s).join(F.broadcast(calendar), "month")
 
 
-def drift(y: np.ndarray) -> np.ndarray:
-    return y[-1] + (y[-1] - y[0]) / (len(y) - 1) * np.arange(1, 4)
+def _rates(pdf: pd.DataFrame) -> np.ndarray:
+    """The rate by month of one series in order; a month without one keeps the rate before."""
+    return pdf["rate"].astype(float).ffill().fillna(0.0).to_numpy()
 
 
-def seasonal(y: np.ndarray) -> np.ndarray:
-    return y[-12:][:3] if len(y) >= 12 else naive(y)
+def _boosted_at(at: int | None):
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="series", columns="t", values="amount").sort_index()
+        calendar = pdf[pdf["series"] == wide.index[0]].sort_values("t")
+        month = pd.to_datetime(calendar["month"]).dt.month.to_numpy()
+        got = ts.boosted(wide.to_numpy(float), month, _rates(calendar), at)
+        return pd.DataFrame({"series": wide.index, "origin": int(pdf["origin"].iloc[0]), "ahead": list(got)})
 
+    return one
 
-def _ses(y: np.ndarray, alpha: float) -> tuple[float, float]:
-    level, miss = y[0], 0.0
-    for v in y[1:]:
-        miss += (v - level) ** 2
-        level += alpha * (v - level)
-    return level, miss
 
-
-def theta(y: np.ndarray) -> np.ndarray:
-    """Half of the trend line and half of the smoothed line of twice the curvature."""
-    t = np.arange(len(y))
-    slope, start = np.polyfit(t, y, 1)
-    line = 2 * y - (start + slope * t)
-    level, _ = min((_ses(line, a) for a in np.linspace(0.05, 0.95, 19)), key=lambda r: r[1])
-    return (level + start + slope * (len(y) + np.arange(3))) / 2
-
-
-def damped(y: np.ndarray) -> np.ndarray:
-    """Damped trend smoothing, its three weights by grid search on one-step errors."""
-    best = None
-    for a in (0.2, 0.4, 0.6, 0.8, 0.95):
-        for b in (0.05, 0.2, 0.5):
-            for f in (0.8, 0.9, 0.98):
-                level, trend, miss = y[0], y[1] - y[0], 0.0
-                for v in y[1:]:
-                    ahead = level + f * trend
-                    miss += (v - ahead) ** 2
-                    new = a * v + (1 - a) * ahead
-                    trend = b * (new - level) + (1 - b) * f * trend
-                    level = new
-                if best is None or miss < best[0]:
-                    best = (miss, level, trend, f)
-    _, level, trend, f = best
-    return level + trend * np.cumsum(f ** np.arange(1, 4))
-
-
-def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
-    return np.linalg.solve(x.T @ x + ridge * len(y) * np.eye(x.shape[1]), x.T @ y)
-
-
-def arima(y: np.ndarray) -> np.ndarray:
-    """ARIMA(2,1,0) with drift, by conditional least squares on the differences."""
-    d = np.diff(y)
-    if len(d) < 6:
-        return drift(y)
-    w = _least_squares(np.column_stack((np.ones(len(d) - 2), d[1:-1], d[:-2])), d[2:])
-    path = [*d[-2:]]
-    for _ in range(3):
-        path.append(w @ (1.0, path[-1], path[-2]))
-    return y[-1] + np.cumsum(path[2:])
-
-
-def sarimax(y: np.ndarray) -> np.ndarray:
-    """Differences on the last one, the one a year ago and half-yearly level terms; short series fall back to arima."""
-    d = np.diff(y)
-    if len(d) < 20:
-        return arima(y)
-    season = lambda t: np.column_stack((np.sin(np.pi * t / 3), np.cos(np.pi * t / 3)))
-    t = np.arange(12, len(d))
-    w = _least_squares(np.column_stack((np.ones(len(t)), d[t - 1], d[t - 12], season(t))), d[t], 1e-4)
-    path = list(d)
-    for _ in range(3):
-        n = len(path)
-        path.append(float(np.concatenate(([1.0, path[-1], path[n - 12]], season(np.array([n]))[0])) @ w))
-    return y[-1] + np.cumsum(path[-3:])
-
-
-def additive(y: np.ndarray) -> np.ndarray:
-    """A piecewise-linear trend with damped slope changes and yearly Fourier terms, by ridge regression."""
-    n = len(y)
-    knots = np.linspace(0, 0.8 * n, 6)[1:]
-    t = np.arange(n + 3.0)
-    waves = [f(2 * np.pi * k * t / 12) for k in (1, 2) for f in (np.sin, np.cos)]
-    x = np.column_stack((np.ones_like(t), t / n, *(np.maximum(0, t - k) / n for k in knots), *waves))
-    weight = np.diag([1e-6, 1e-6, *[0.05] * len(knots), *[0.01] * len(waves)]) * n
-    w = np.linalg.solve(x[:n].T @ x[:n] + weight, x[:n].T @ y)
-    return x[n:] @ w
-
-
-MODELS = {"naive": naive, "drift": drift, "seasonal": seasonal, "theta": theta, "damped": damped, "arima": arima, "sarimax": sarimax, "additive": additive}
-
-
-def _forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-    y = pdf.sort_values("month")["amount"].to_numpy(float)
-    scale = y.mean() or 1.0
-    rows = [(pdf["series"].iloc[0], name, h + 1, float(v * scale)) for name, f in MODELS.items() for h, v in enumerate(f(y / scale))]
-    combined = np.mean([[r[3] for r in rows if r[1] == m] for m in ("drift", "theta", "damped")], axis=0)
-    rows += [(pdf["series"].iloc[0], "combination", h + 1, float(v)) for h, v in enumerate(combined)]
-    return pd.DataFrame(rows, columns=["series", "model", "h", "forecast"])
+def _calendar(s: Star) -> tuple[int, int | None]:
+    """The number of months, and how many lie before the break, if it is one of them."""
+    at = F.lit(s.p.break_month).cast("date")
+    size, before, hit = s.months.agg(F.count("*"), F.count_if(F.col("month") < at), F.count_if(F.col("month") == at)).first()
+    return size, before if hit else None
+
+
+def boosted(s: Star, rows: DataFrame, size: int, at: int | None) -> DataFrame:
+    """(series, origin, ahead): the boosted model of all series, trained at every rolling origin and at the last month.
+
+    An origin's group holds its months of every series: products and states times the calendar, which the facts don't grow.
+    """
+    known = [*range(ts.LEAST, size - 2), size]
+    past = rows.withColumn("origin", F.explode(F.filter(F.array(*map(F.lit, known)), lambda o: o >= F.col("t"))))
+    # Little data but much work a row: a given number of partitions keeps Spark from merging them.
+    return past.repartition(len(known), "origin").groupBy("origin").applyInPandas(_boosted_at(at), "series string, origin int, ahead array<double>")
+
+
+_FORECASTS = "series string, model string, origin int, h int, forecast double, low double, high double, actual double, step double"
+
+
+def _forecaster(models: tuple[str, ...], at: int | None, first: int | None):
+    def one(pdf: pd.DataFrame, trees: pd.DataFrame | None = None) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        y, rate = pdf["amount"].to_numpy(float), _rates(pdf)
+        size = len(y)
+        if size < ts.LEAST:
+            return pd.DataFrame([], columns=[c.split()[0] for c in _FORECASTS.split(", ")])
+        n = np.array([size] if first is None else [*range(first, size - 2), size])
+        rows = ts.adjusted(y, n, at)
+        got = {m: ts.scaled(m, rows, n, rate) for m in models if m in ts.MODELS}
+        if trees is not None:
+            trees = trees.sort_values("origin")
+            known = trees["origin"].to_numpy()
+            got["boosted"] = ts.boosted_bands(y, np.stack(trees["ahead"]), known)[np.searchsorted(known, n)]
+        if "combination" in models:
+            got["combination"] = np.mean([got[m] for m in ts.MEMBERS], axis=0)
+        steps = np.array([np.mean(np.abs(np.diff(row[:k]))) for row, k in zip(rows, n)])
+        part = [
+            pd.DataFrame({"series": pdf["series"].iloc[0], "model": m, "origin": n, "h": h + 1, "forecast": f[:, 0, h], "low": f[:, 1, h], "high": f[:, 2, h], "actual": [y[k + h] if k + h < size else np.nan for k in n], "step": steps})
+            for m, f in got.items() for h in range(3)
+        ]
+        return pd.concat(part)
+
+    return one
 
 
 def _send(s: Star) -> None:
     """Functions that run per series travel whole, with those they call, so executors need no copy of this package."""
-    for module in (sys.modules[__name__], statistics):
+    for module in (sys.modules[__name__], statistics, ts):
         cloudpickle.register_pickle_by_value(module)
 
 
-def forecasts(s: Star) -> DataFrame:
+def forecasts(s: Star, *models: str, first: int | None = None) -> DataFrame:
+    """(series, model, origin, h, forecast, low, high, actual, step) of the named models: at the last month, or at every origin from `first` on too.
+
+    `step` is the mean change of the training, by which errors are scaled; `actual` is NaN where the month hasn't come. A series of
+    fewer than 13 months gives no row. Every model of one series is trained without the step at the break.
+    """
     _send(s)
-    return series(s).groupBy("series").applyInPandas(_forecast, "series string, model string, h int, forecast double")
+    size, at = _calendar(s)
+    one = _forecaster(models, at, first)
+    if "boosted" not in models:
+        return monthly(s).groupBy("series").applyInPandas(lambda pdf: one(pdf), _FORECASTS)
+    rows = kept(monthly(s))
+    return rows.groupBy("series").cogroup(boosted(s, rows, size, at).groupBy("series")).applyInPandas(lambda pdf, trees: one(pdf, trees), _FORECASTS)
+
+
+def _last(s: Star, model: str, *needs: str) -> DataFrame:
+    return forecasts(s, model, *needs).where(F.col("model") == model).select("series", "model", "h", "forecast", "low", "high")
 
 
-for _name, _model in (("theta", "theta"), ("ets_damped", "damped"), ("arima", "arima"), ("sarimax", "sarimax"), ("prophet", "additive")):
-    op(f"fc_{_name}")(lambda s, m=_model: forecasts(s).where(F.col("model") == m))
-op("fc_combine")(lambda s: forecasts(s).where("model = 'combination'"))
+for _name, _model in (("theta", "theta"), ("ets_damped", "damped"), ("arima", "arima"), ("sarimax", "arima_rate"), ("prophet", "additive"), ("global_gbm", "boosted")):
+    op(f"fc_{_name}")(lambda s, m=_model: _last(s, m))
+op("fc_combine")(lambda s: _last(s, "combination", *ts.MEMBERS))
 
 
-@op("fc_break_adjust", f"""{_STEP}, o AS (SELECT series, median(s1) AS m FROM d WHERE month < DATE '2000-01-31' GROUP BY 1), j AS (SELECT d.series, d.s1 - o.m AS jump FROM d JOIN o USING (series) WHERE month = DATE '2000-01-31')
-  SELECT d.series, d.month, round(CASE WHEN d.month >= DATE '2000-01-31' THEN d.amount - jump ELSE d.amount END, 4) AS amount FROM d JOIN j USING (series)""")
+@op("fc_break_adjust", f"""{_SERIES}, d AS (SELECT series, month, amount, lag(amount) OVER w AS before, amount / nullif(lag(amount) OVER w, 0) - 1 AS change, row_number() OVER w AS t, count(*) OVER (PARTITION BY series) AS n FROM ser WINDOW w AS (PARTITION BY series ORDER BY month)),
+  o AS (SELECT series, median(CASE WHEN month <> DATE '2000-01-31' THEN change END) AS usual, max(CASE WHEN month = DATE '2000-01-31' THEN change END) AS own, max(CASE WHEN month = DATE '2000-01-31' THEN before END) AS before, max(CASE WHEN month = DATE '2000-01-31' THEN t END) AS t, min(CASE WHEN t < n THEN amount END) AS least FROM d GROUP BY 1)
+  SELECT d.series, d.month, round(CASE WHEN d.month < DATE '2000-01-31' AND o.t > 2 AND o.least > 0 THEN d.amount + (own - usual) * o.before ELSE d.amount END, 4) AS amount FROM d JOIN o USING (series)""")
 def fc_break_adjust(s):
-    """The step at the break less the usual change before it is taken off the months from it on."""
-    at = F.lit(s.p.break_month).cast("date")
-    d = _steps(s)
-    usual = d.where(F.col("month") < at).groupBy("series").agg(F.median("s1").alias("m"))
-    jump = d.where(F.col("month") == at).join(usual, "series").select("series", (F.col("s1") - F.col("m")).alias("jump"))
-    return d.join(jump, "series").select("series", "month", F.round(F.when(F.col("month") >= at, F.col("amount") - F.col("jump")).otherwise(F.col("amount")), 4).alias("amount"))
+    """The months before the break are lifted by its step: that month's rate of change over the median of the others, times the level before.
+
+    A series with a month without an amount, the last aside, or with fewer than two months before the break stays as it is.
+    """
+    at = F.col("month") == F.lit(s.p.break_month).cast("date")
+    w = Window.partitionBy("series").orderBy("month")
+    d = series(s).withColumns({"before": F.lag("amount").over(w), "t": F.row_number().over(w), "next": F.lead("amount").over(w)})
+    d = d.withColumn("change", F.col("amount") / F.nullif("before", F.lit(0.0)) - 1)
+    own = d.groupBy("series").agg(F.median(F.when(~at, F.col("change"))).alias("usual"), F.max(F.when(at, F.struct("change", "before", "t"))).alias("x"), F.min(F.when(F.col("next").isNotNull(), F.col("amount"))).alias("least"))
+    lifts = (F.col("month") < F.lit(s.p.break_month).cast("date")) & (F.col("x.t") > 2) & (F.col("least") > 0)
+    lifted = F.col("amount") + (F.col("x.change") - F.col("usual")) * F.col("x.before")
+    return d.join(own, "series").select("series", "month", F.round(F.when(lifts, lifted).otherwise(F.col("amount")), 4).alias("amount"))
 
 
 _PANEL = f"{_SERIES}, f AS (SELECT series, month, CASE WHEN amount > 0 THEN ln(amount) END AS y, month(month) AS month_no FROM ser), p AS (SELECT series, month, month_no, y, y - lag(y) OVER w AS d1, lag(y, 1) OVER w - lag(y, 2) OVER w AS d2 FROM f WINDOW w AS (PARTITION BY series ORDER BY month))"
@@ -213,21 +202,6 @@ def fc_features_panel(s):
     return panel(s).select("series", "month", "month_no", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
 
 
-@op("fc_global_gbm")
-def fc_global_gbm(s):
-    """One boosted model over all series, weighted by size, that skips examples across the break."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    w = Window.partitionBy("series").orderBy("month")
-    rows = panel(s).withColumns({"target": F.lead("d1").over(w), "next": F.lead("month").over(w), "weight": F.col("y")})
-    rows = rows.where("d1 IS NOT NULL AND d2 IS NOT NULL")
-    known = rows.where((F.col("target").isNotNull()) & (F.col("next") != F.lit(s.p.break_month).cast("date")))
-    build = VectorAssembler(inputCols=["d1", "d2", "month_no", "y"], outputCol="features")
-    model = GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", maxIter=5, maxDepth=3, seed=3).fit(build.transform(known))
-    return model.transform(build.transform(s.latest(rows))).select("series", "month", F.exp(F.col("y") + F.col("prediction")).alias("forecast"))
-
-
 _ORIGINS = f"{_SERIES}, k AS (SELECT series, month, amount, row_number() OVER (PARTITION BY series ORDER BY month) AS t, count(*) OVER (PARTITION BY series) AS n FROM ser)"
 
 
@@ -264,54 +238,69 @@ def fc_backtest_metrics(s):
     return origins(s).groupBy("series").agg(F.round(F.avg(miss) / base, 8).alias("relative_error"), F.round(100 * F.avg(miss / F.nullif("actual", F.lit(0.0))), 6).alias("mape"), F.count("*").alias("n"))
 
 
-def _backtest(pdf: pd.DataFrame) -> pd.DataFrame:
-    y = pdf.sort_values("month")["amount"].to_numpy(float)
-    rows = []
-    for origin in range(13, len(y) - 2):
-        past, nxt = y[:origin], y[origin : origin + 3]
-        for name, f in MODELS.items():
-            miss = np.abs(f(past) - nxt)
-            rows.append((pdf["series"].iloc[0], name, origin, float(miss.mean()), float((miss / np.where(nxt == 0, np.nan, nxt)).mean())))
-    return pd.DataFrame(rows, columns=["series", "model", "origin", "mae", "mape"])
+def backtest(s: Star) -> DataFrame:
+    """(series, model, origin, h, scaled, relative, inside, score) of every candidate over all rolling origins from 13 on.
+
+    The error over the mean change of its training, the error over the actual value, whether the band holds it, and the interval score over it.
+    """
+    f = forecasts(s, *ts.CANDIDATES, first=ts.LEAST).where(~F.isnan("actual"))
+    miss, real = F.abs(F.col("actual") - F.col("forecast")), F.nullif(F.abs("actual"), F.lit(0.0))
+    outside = F.greatest(F.col("low") - F.col("actual"), F.lit(0.0)) + F.greatest(F.col("actual") - F.col("high"), F.lit(0.0))
+    score = F.col("high") - F.col("low") + 10 * outside
+    return f.select("series", "model", "origin", "h", (miss / F.nullif("step", F.lit(0.0))).alias("scaled"), (miss / real).alias("relative"), F.col("actual").between(F.col("low"), F.col("high")).alias("inside"), (score / real).alias("score"))
 
 
-def backtest(s: Star) -> DataFrame:
-    """(series, model, origin, mae, mape) of every candidate over all rolling origins from 13 on."""
-    _send(s)
-    return series(s).groupBy("series").applyInPandas(_backtest, "series string, model string, origin int, mae double, mape double")
+@op("fc_backtest_all")
+def fc_backtest_all(s):
+    """Scaled error, relative error, coverage and interval score by series, candidate and step, over all origins."""
+    means = [F.avg("scaled").alias("mase"), F.avg("relative").alias("mape"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.avg("score").alias("score")]
+    return backtest(s).groupBy("series", "model", "h").agg(*means)
+
+
+def challenger_p(d: np.ndarray) -> float:
+    """One-sided p-value that the challenger errs less; d is its error less the champion's by origin."""
+    d = d[~np.isnan(d)]
+    t = dm_statistic(-d, 3) if len(d) >= 3 else None
+    if t is None:
+        return 0.0 if len(d) and d.mean() < 0 else 1.0
+    return t_tail(t, len(d) - 1)
+
+
+def choose(wide: pd.DataFrame, level: float = 0.10) -> str:
+    """The drift stays unless challengers beat it after Holm's correction; of those that do the least mean error wins, a tie the simpler one."""
+    p = {m: challenger_p((wide[m] - wide["drift"]).to_numpy()) for m in ts.CANDIDATES if m != "drift"}
+    better = ["drift"]
+    for i, m in enumerate(sorted(p, key=p.get)):
+        if p[m] > level / (len(p) - i):
+            break
+        better.append(m)
+    return min(better, key=lambda m: (wide[m].mean(), ts.CANDIDATES.index(m)))
 
 
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The champion stays unless a challenger beats it after Holm's correction; of those the least error wins."""
-    wide = pdf.pivot(index="origin", columns="model", values="mae").sort_index()
-    tests = []
-    for m in wide.columns.drop("drift"):
-        t = dm_statistic((wide["drift"] - wide[m]).to_numpy(), 3)
-        tests.append((m, 1.0 if t is None else t_tail(t, len(wide) - 1)))
-    tests.sort(key=lambda r: r[1])
-    worst, better = 0.0, []
-    for i, (m, p) in enumerate(tests):
-        worst = max(worst, min(1.0, p * (len(tests) - i)))
-        if worst < 0.05:
-            better.append(m)
-    best = min(better, key=lambda m: wide[m].mean()) if better else "drift"
-    return pd.DataFrame([(pdf["series"].iloc[0], best, float(wide[best].mean()), float(wide["drift"].mean()))], columns=["series", "chosen", "mae", "champion_mae"])
+    wide = pdf.pivot(index="origin", columns="model", values="scaled").sort_index()
+    best = choose(wide)
+    return pd.DataFrame([(pdf["series"].iloc[0], best, float(wide[best].mean()), float(wide["drift"].mean()))], columns=["series", "chosen", "mase", "champion_mase"])
+
+
+def _by_origin(s: Star) -> DataFrame:
+    return backtest(s).groupBy("series", "model", "origin").agg(F.avg("scaled").alias("scaled"), F.avg("relative").alias("relative"))
 
 
-op("fc_choose")(lambda s: backtest(s).groupBy("series").applyInPandas(_choose, "series string, chosen string, mae double, champion_mae double"))
+op("fc_choose")(lambda s: _by_origin(s).groupBy("series").applyInPandas(_choose, "series string, chosen string, mase double, champion_mase double"))
 
 
 def _honest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At each of the last four origins the choice sees only origins that had ended by then."""
-    out = []
-    for origin in sorted(pdf["origin"].unique())[-4:]:
-        past = pdf[pdf["origin"] <= origin - 3]
-        best = _choose(past)["chosen"].iloc[0] if past["origin"].nunique() >= 4 else "drift"
-        out.append((pdf["series"].iloc[0], int(origin), best, float(pdf[(pdf["origin"] == origin) & (pdf["model"] == best)]["mape"].iloc[0])))
+    """At each of the last four origins the choice sees only origins that had ended by then; without one the drift stands."""
+    wide, out = pdf.pivot(index="origin", columns="model", values="scaled").sort_index(), []
+    for origin in wide.index[-4:]:
+        past = wide[wide.index <= origin - 3]
+        best = choose(past) if len(past) else "drift"
+        out.append((pdf["series"].iloc[0], int(origin), best, float(pdf[(pdf["origin"] == origin) & (pdf["model"] == best)]["relative"].iloc[0])))
     return pd.DataFrame(out, columns=["series", "origin", "chosen", "mape"])
 
 
-op("fc_honest_error")(lambda s: backtest(s).groupBy("series").applyInPandas(_honest, "series string, origin int, chosen string, mape double"))
+op("fc_honest_error")(lambda s: _by_origin(s).groupBy("series").applyInPandas(_honest, "series string, origin int, chosen string, mape double"))
 
 
 @op("fc_output_tables", f"{_STEP} SELECT 'projection' AS kind, d.series, 'drift' AS model, h, round(amount + h * drift, 4) AS value FROM d JOIN st USING (series), (VALUES (1), (2), (3)) AS v(h) WHERE back = 1 UNION ALL SELECT 'projection', d.series, 'naive', h, round(amount, 4) FROM d, (VALUES (1), (2), (3)) AS v(h) WHERE back = 1")

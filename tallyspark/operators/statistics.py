@@ -13,7 +13,6 @@ from ..binding import Star
 from .common import op
 from .relational import by_month, by_state
 
-Z80 = 1.2815515655446004
 Z95 = 1.959963984540054
 
 

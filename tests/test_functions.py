@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import functions as fn
-from tallyspark.operators import checks, forecasting, grading, guard, statistics
+from tallyspark.operators import checks, grading, guard, statistics
 
 
 def one(spark, value, f, kind="string"):
@@ -111,11 +111,5 @@ def test_noninferiority_level():
         assert all(statistics.newcombe_low(e, f, g, h, x) > -0.05 for x in np.arange(0.001, z - 1e-6, 0.001))
 
 
-def test_forecasts_see_the_past_only():
-    y = np.cumsum(np.random.default_rng(3).normal(1, 0.2, 40)) + 20
-    assert np.allclose(forecasting.drift(np.arange(20.0)), [20, 21, 22])
-    for f in forecasting.MODELS.values():
-        changed = np.concatenate((y[:30], 3 * y[30:]))
-        assert np.allclose(f(y[:30]), f(changed[:30]))
-    assert np.allclose(forecasting.theta(np.arange(20.0)), [19.5, 20, 20.5], atol=1.1)
+def test_no_variance_gives_no_statistic():
     assert statistics.dm_statistic(np.zeros(10), 3) is None
