@@ -15,6 +15,7 @@ from .functions import month_end
 from .params import DEFAULT, Params
 
 STATE_HIDDEN = "NATION_24"
+_KEPT: list[DataFrame] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -22,8 +23,16 @@ def kept(df: DataFrame) -> DataFrame:
 
     For results of the size of a calendar times a key only; without it each branch would scan the facts
     again, since pruned branches don't share an exchange. A lost executor's part is computed again.
+    `release` frees them, once the results that read them are stored.
     """
-    return df.cache()
+    _KEPT.append(df.cache())
+    return df
+
+
+def release() -> None:
+    """Frees what `kept` holds; a result that is read later computes it again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 class Star:
@@ -82,9 +91,10 @@ class Star:
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(payer, F.col("c_nationkey") == F.col("pk")).join(receiver, F.col("s_nationkey") == F.col("rk"))
         )
         client = F.when(F.col("l_linestatus") == "F", "PF").otherwise("PJ")
-        sides = F.explode(F.array(F.struct(F.lit("payer").alias("side"), F.col("payer").alias("state")), F.struct(F.lit("receiver").alias("side"), F.col("receiver").alias("state"))))
-        long = rows.select("month", client.alias("client"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"), F.col("l_quantity").cast("bigint").alias("quantity"), sides.alias("s"))
-        return long.groupBy("month", F.col("s.state").alias("state"), F.col("s.side").alias("side"), "client").agg(
+        # Both sides of a sum are laid out, not those of every row.
+        pairs = rows.groupBy("month", client.alias("client"), "payer", "receiver").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+        sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("state")) for c in ("payer", "receiver"))))
+        return pairs.select("month", "client", "value", "quantity", sides.alias("s")).groupBy("month", F.col("s.state").alias("state"), F.col("s.side").alias("side"), "client").agg(
             F.sum("value").cast("decimal(38,2)").alias("value"), F.sum("quantity").alias("quantity")
         )
 

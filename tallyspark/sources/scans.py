@@ -83,9 +83,24 @@ def scan_docs(s):
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), clean.alias("block"))
 
 
-@op("scan_duckdb_views", "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def register_views(spark: SparkSession, base: str, names: tuple[str, ...], revision: str = "", prefix: str = "", materialize: bool = False) -> list[str]:
+    """One view a table of a set that lies under one base, at a pinned revision if one is named: base/revision/name.parquet.
+
+    `materialize` keeps the tables' rows near the executors, in memory or on disk, until the view is uncached. Returns the view names.
+    """
+    root = "/".join(p.rstrip("/") for p in (base, revision) if p)
+    for name in names:
+        spark.read.parquet(f"{root}/{name}.parquet").createOrReplaceTempView(prefix + name)
+        if materialize:
+            spark.catalog.cacheTable(prefix + name)
+    return [prefix + name for name in names]
+
+
+@op("scan_duckdb_views", "SELECT r_name, n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def scan_duckdb_views(s):
-    return s.spark.sql("SELECT r_name, count(*) AS nations FROM {nation} JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name", nation=s.raw("nation"), region=s.raw("region"))
+    base, _, revision = s.dir.rstrip("/").rpartition("/")
+    register_views(s.spark, base, ("customer", "nation", "region"), revision, "tally_")
+    return s.spark.sql("SELECT r_name, n_name, count(*) AS customers FROM tally_customer JOIN tally_nation ON c_nationkey = n_nationkey JOIN tally_region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
 
 
 @op("scan_seed", "SELECT * FROM (VALUES (1, 'a', NULL), (2, NULL, 'x')) AS v(id, before, after)")
@@ -97,10 +112,17 @@ def scan_seed(s):
 
 
 def write_sorted(df: DataFrame, path: str) -> DataFrame:
-    """One canonical order over all columns, nulls last, zstd; returns the digest of the rows in that order."""
-    ordered = df.orderBy(*[F.asc_nulls_last(c) for c in df.columns])
-    ordered.write.option("compression", "zstd").parquet(path)
-    return row_digest(df.sparkSession.read.parquet(path))
+    """One canonical order over all columns, nulls last, zstd; returns the table as it was read back."""
+    df.orderBy(*[F.asc_nulls_last(c) for c in df.columns]).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """The rows of Parquet files with `position`, their place in the files taken by name; only counts by file are ranked."""
+    rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("_file", before.alias("_before")), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
 
 
 def row_digest(df: DataFrame) -> DataFrame:
@@ -109,9 +131,11 @@ def row_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("digest"))
 
 
-@op("sink_parquet_sorted")
+@op("sink_parquet_sorted", "SELECT state, month, product, amount, row_number() OVER (ORDER BY state NULLS LAST, month, product, amount) - 1 AS position FROM (SELECT state, month, product, CAST(sum(amount) AS DOUBLE) AS amount FROM fct GROUP BY 1, 2, 3)")
 def sink_parquet_sorted(s):
-    return write_sorted(by_state(s), scratch(s.spark, "sorted"))
+    """Each row with its place in the written files, which shows their order."""
+    cells = s.fct.groupBy("state", "month", "product").agg(F.sum("amount").cast("double").alias("amount"))
+    return positions(write_sorted(cells, scratch(s.spark, "sorted")))
 
 
 @op("sink_columnar_json", "SELECT state, list(month ORDER BY month) AS months, list(CAST(round(a, 0) AS DOUBLE) ORDER BY month) AS amounts FROM (SELECT state, CAST(month AS VARCHAR) AS month, CAST(sum(amount) AS DECIMAL(28,2)) AS a FROM fct GROUP BY 1, 2) GROUP BY 1")
@@ -127,10 +151,24 @@ def sink_manifest(s):
     return one("fct", s.fct, "amount").unionAll(one("flows", s.flows, "value"))
 
 
-@op("fetch_all_chunks", "SELECT count(*) AS n FROM orders")
+def fetch(df: DataFrame, rows: int = 1000):
+    """The result in lists of at most so many rows, in its order: one partition and one list are held at a time, whatever the result's size."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+@op("fetch_all_chunks", ", g AS (SELECT state, month, CAST(sum(amount) AS DOUBLE) AS amount, row_number() OVER (ORDER BY state NULLS LAST, month) - 1 AS k FROM fct GROUP BY 1, 2) SELECT k // 500 AS chunk, count(*) AS n, CAST(min(month) AS VARCHAR) AS first_month, round(sum(amount), 2) AS amount FROM g GROUP BY 1")
 def fetch_all_chunks(s):
-    """Results come in partitions; each is counted where it lies and only the counts travel."""
-    return s.raw("orders").groupBy(F.spark_partition_id().alias("chunk")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
+    """Every chunk of a result of states times months, the later ones included."""
+    result = by_state(s).select("state", "month", "amount").orderBy(F.asc_nulls_last("state"), "month")
+    found = [(i, len(rows), str(min(r["month"] for r in rows)), sum(r["amount"] for r in rows)) for i, rows in enumerate(fetch(result, 500))]
+    return s.spark.createDataFrame(found, "chunk long, n long, first_month string, amount double").withColumn("amount", F.round("amount", 2))
 
 
 @op("last_n_periods_filter", ", g AS (SELECT month, CAST(sum(amount) AS DOUBLE) AS amount FROM fct GROUP BY 1) SELECT month, amount FROM g WHERE month IN (SELECT month FROM g WHERE month <= DATE '2001-05-31' ORDER BY month DESC LIMIT 6)")
