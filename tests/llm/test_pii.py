@@ -1,9 +1,10 @@
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from tallyspark.llm import pii
+from tallyspark.llm import pii, queries
 
 TEXT = (
     'Call +1 (487) 555-7209, pay 4929348385146306 or 4929-3483-8514-6306, id 1219538112535716, mail An.55@mail4.example.com or an.55@MAIL4.example.com, from 161.17.88.162 and 10.2.3.4. '
@@ -128,3 +129,43 @@ def test_collisions_are_drawn_again(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymised(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def entity_of(match):
+    """(type, what its spellings share) by the docstring's rules, or None for a number that is no card and no phone."""
+    digits = re.sub(r"\D", "", match)
+    kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p.replace(r"\d", "[0-9]"), match))
+    if kind == "card" and not luhn(digits) or kind == "phone" and not 8 <= len(digits) <= 15:
+        return None
+    shared = {"email": match.lower(), "card": digits, "ssn": digits, "phone": digits if match.startswith("+") else "1" + digits}
+    return kind, shared.get(kind, match)
+
+
+def test_whole_table_by_a_plain_account(spark):
+    """The query over all documents: what lies between entities stays, each entity has one surrogate everywhere, no two share one, none is left."""
+    sf_dir = "/root/testdata/sf0.01"
+    before = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op2_pii(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(before)
+    any_kind = regex.compile(pii.ANY.replace(r"\d", "[0-9]"))
+    given, hits = {}, 0
+    for row in rows:
+        text, found, at, shape = before[row["doc_id"]], [], 0, ""
+        for m in any_kind.finditer(text):
+            entity = entity_of(m[0])
+            if entity:
+                shape += re.escape(text[at : m.start()]) + "(.+?)"
+                found.append(entity)
+                at = m.end()
+        assert row["n_entities"] == len(found), row["doc_id"]
+        shape += re.escape(text[at:])
+        whole = re.fullmatch(shape, row["text"] or "", re.S)
+        assert whole, row["doc_id"]
+        for (kind, shared), new in zip(found, whole.groups()):
+            again = entity_of(new)
+            assert again and again[0] == kind, (kind, shared, new)
+            assert given.setdefault((kind, shared), again[1]) == again[1]
+            hits += 1
+    assert hits > 100
+    assert len(set(given.values())) == len(given)
+    assert not {v for _, v in given} & set(given.values())

@@ -1,10 +1,11 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import quality
+from tallyspark.llm import quality, queries
 
 
 def test_held_out_accuracy(spark):
@@ -50,3 +51,26 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert quality.train(docs, labels).score(F.array()) is not None
     assert quality.scored(docs.limit(0), model).count() == 0
+
+
+def test_query_by_a_plain_account(spark, sf_dir):
+    """Each document of the table: its score from its statistics and the learnt rules, one at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    rows = queries.op1_quality(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        stats = quality.statistics(texts[r["doc_id"]].encode())
+        total = model.bias
+        for rule, weight in zip(model.rules, model.weights):
+            if all(stats[k] > limit if above else stats[k] <= limit for k, above, limit in rule):
+                total += weight
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_training_sees_no_held_out_label(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality").cast("int")).otherwise(F.col("quality").cast("int")))
+    assert quality.train(docs, labels) == quality.train(docs, turned)
